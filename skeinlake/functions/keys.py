@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANKS = " \t\r\n "
+BLANKS = " \t\r\n\u00a0"
 
 
 def clean_key(col: Column | str) -> Column:
@@ -20,8 +20,8 @@ def clean_category(col: Column | str) -> Column:
     Null and blank values come out as null.
     """
     col = F.col(col) if isinstance(col, str) else col
-    cut = F.regexp_replace(F.lower(col), r"^[\s ]+|[\s ]*\.?[\s ]*$", "")
-    return F.nullif(F.regexp_replace(cut, r"[\s _-]+", "_"), F.lit(""))
+    cut = F.regexp_replace(F.lower(col), r"^[\s\u00a0]+|[\s\u00a0]*\.?[\s\u00a0]*$", "")
+    return F.nullif(F.regexp_replace(cut, r"[\s\u00a0_-]+", "_"), F.lit(""))
 
 
 def clean_split(col: Column | str) -> Column:
