@@ -11,11 +11,11 @@ HOT_PARTS = 64
 
 def hot_keys(df: DataFrame, key: str, parts: int = HOT_PARTS) -> list:
     """Keys that hold more than 1/parts of the non-null rows: at most ``parts`` values, counted over all rows."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
     if total < 100_000:
         return []
-    return [r[0] for r in counts.where(F.col("n") * parts > total).select(key).collect()]
+    return [r[0] for r in counts.where(F.col("_rows") * parts > total).select(key).collect()]
 
 
 def hot_split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
