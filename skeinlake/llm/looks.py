@@ -98,7 +98,7 @@ def fold_text(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """The longest stretches of letters and digits, folded, without regard to case (sharp s counts as ss)."""
-    low = F.regexp_replace(F.lower(fold_text(F.lower(fold_text(col)))), "[ßẞ]", "ss")
+    low = F.regexp_replace(F.lower(fold_text(col)), "[ßẞ]", "ss")
     return F.regexp_extract_all(low, F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import task_queries, text_queries
 
-_PARTS = (text_queries,)
+_PARTS = (task_queries, text_queries)
 QUERIES = {n: f for p in _PARTS for n, f in p.QUERIES.items()}
 ORACLE = {n: s for p in _PARTS for n, s in p.ORACLE.items()}

@@ -1,12 +1,34 @@
-"""Queries over ``documents`` text: one look (p9)."""
+"""Queries over ``documents``: leaked test items (p7), mixing sources (p8), one look (p9)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
+from .leakage import leak_report, leaks
 from .lookalike import look_classes, same_look_pairs
 from .looks import look_table
+from .mixing import Mix
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "bench_items")).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "bench_items"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return leak_report(table(spark, d, "documents"), table(spark, d, "bench_items"))
+
+
+def p8_sample(spark: SparkSession, d: str) -> DataFrame:
+    return Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).sample()
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).report()
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -17,7 +39,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return look_classes(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_leaks, p7_report, p8_sample, p8_report, p9_found, p9_forms)}
 
 _SHOWN = sorted((c for c, to in look_table().items() if to), key=ord)
 _HIDDEN = "".join(sorted(c for c, to in look_table().items() if not to))
@@ -29,7 +51,14 @@ def sql_fold(col: str) -> str:
     return f"nfc_normalize(translate(nfc_normalize({col}), {quoted(''.join(_SHOWN) + _HIDDEN)}, {quoted(''.join(look_table()[c] for c in _SHOWN))}))"
 
 
+def _words(col: str) -> str:
+    return f"regexp_extract_all(regexp_replace(lower({sql_fold(col)}), '[ßẞ]', 'ss', 'g'), '[\\p{{L}}\\p{{Nd}}]+')"
+
+
+_RUN = "SELECT {0}, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {0}, {1} AS w FROM {2}))"
 ORACLE = {
+    "p7_found": f"""WITH d AS ({_RUN.format("doc_id", _words("text"), "documents")}), t AS ({_RUN.format("item_id", _words("item_text"), "(SELECT * FROM bench_items WHERE lower(trim(split)) IN ('val', 'valid', 'test'))")})
+      SELECT DISTINCT doc_id, item_id FROM d JOIN t USING (run)""",
     "p9_found": f"""WITH f AS (SELECT doc_id, text, {sql_fold("text")} AS look FROM documents WHERE text <> '')
       SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text""",
 }
