@@ -71,3 +71,27 @@ def salted_pairs(left: DataFrame, right: DataFrame, key: str, on: Column | None
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     out = a.join(b, [key, "_salt"]).drop("_salt")
     return out.where(on) if on is not None else out
+
+
+def running_sums(df: DataFrame, groups: list[str], order: list[str], amounts: dict[str, str], parts: int | None = None) -> DataFrame:
+    """``df`` with, for each ``{new: column}``, the sum of the column over the rows of the group up to and including this one.
+
+    ``order`` must be unique within a group. Rows are range-partitioned by (group, order), so one group may span many
+    tasks; the totals per task and group (a row each) give every task its offset. Null amounts count as 0.
+    """
+    from ..session import Workspace
+
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in [*groups, *order]]
+    placed = Workspace(spark, "running").save(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "placed")
+    names = list(amounts)
+    totals = placed.groupBy(*groups, "_part").agg(*[F.sum(F.coalesce(F.col(amounts[n]), F.lit(0))).alias(f"_t{i}") for i, n in enumerate(names)])
+    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_part", *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_o{i}") for i in range(len(names))])
+    w = Window.partitionBy(*groups, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    on = offsets["_part"] == placed["_part"]
+    for i, g in enumerate(groups):
+        on = on & placed[g].eqNullSafe(offsets[f"_g{i}"])
+    out = placed.join(F.broadcast(offsets) if not groups else offsets, on)
+    return out.select(*[placed[c] for c in df.columns], *[(F.col(f"_o{i}") + F.sum(F.coalesce(placed[amounts[n]], F.lit(0))).over(w)).alias(n) for i, n in enumerate(names)])
