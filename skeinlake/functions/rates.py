@@ -24,7 +24,7 @@ def mean_of(*cols: Column) -> Column:
 def class_metrics(pos: Column, neg: Column, tp: Column, tn: Column, fp: Column, n: Column, fn: Column | None = None) -> dict[str, Column]:
     """Binary metrics of counts. fn is pos - tp, so an invalid output on a positive is a miss; give ``fn`` for other rules.
 
-    Single rates are rounded before balanced accuracy and macro-F1 are formed from them.
+    Single rates are rounded to 6 digits; balanced accuracy and macro-F1 are plain means of those.
     """
     fn = pos - tp if fn is None else fn
     sens, spec = rate(tp, tp + fn), rate(tn, neg)
@@ -32,7 +32,7 @@ def class_metrics(pos: Column, neg: Column, tp: Column, tn: Column, fp: Column,
     return {
         "accuracy": rate(tp + tn, n), "precision": rate(tp, tp + fp), "recall": sens, "specificity": spec, "f1": f1,
         "negative_precision": rate(tn, tn + fn), "negative_f1": neg_f1,
-        "balanced_accuracy": F.round(mean_of(sens, spec), 6), "macro_f1": F.round(mean_of(f1, neg_f1), 6),
+        "balanced_accuracy": mean_of(sens, spec), "macro_f1": mean_of(f1, neg_f1),
     }
 
 

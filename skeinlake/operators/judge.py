@@ -9,7 +9,7 @@ from ..functions.geometry import iou
 from ..functions.grammar import CLASSES, canonical_class, parse_output, region_token, tag_view
 from ..functions.rates import class_metrics, mean_of, rate, total
 
-COUNTS = ["n", "valid", "pos", "neg", "tp", "tn", "fp", "invalid", "targets", "iou_sum", "iou_hit", "boxes", "region_ok", "strict"]
+COUNTS = ["n", "valid", "pos", "neg", "tp", "tn", "fp", "invalid", "n_targets", "iou_sum", "iou_hit", "boxes", "region_ok", "strict"]
 
 
 def judge(rows: DataFrame, prediction: str = "prediction") -> DataFrame:
@@ -37,7 +37,7 @@ def judge(rows: DataFrame, prediction: str = "prediction") -> DataFrame:
     return out.select(
         *rows.columns, F.lit(1).cast("long").alias("n"), one(valid).alias("valid"), one(truth == F.col("_yes")).alias("pos"), one(truth == F.col("_no")).alias("neg"),
         one((truth == F.col("_yes")) & (said == F.col("_yes"))).alias("tp"), one((truth == F.col("_no")) & (said == F.col("_no"))).alias("tn"), one((truth == F.col("_no")) & (said == F.col("_yes"))).alias("fp"),
-        one((task != "grounding") & said.isNull()).alias("invalid"), F.size("_scores").cast("long").alias("targets"), F.aggregate("_scores", F.lit(0.0), lambda a, s: a + s["iou"]).alias("iou_sum"),
+        one((task != "grounding") & said.isNull()).alias("invalid"), F.size("_scores").cast("long").alias("n_targets"), F.aggregate("_scores", F.lit(0.0), lambda a, s: a + s["iou"]).alias("iou_sum"),
         hits.cast("long").alias("iou_hit"), F.size(F.filter("_scores", lambda s: s["found"])).cast("long").alias("boxes"), one(region).alias("region_ok"),
         one((task != "vqa") & class_ok & region & (hits == F.size("_scores"))).alias("strict"), F.col("_scores.iou").alias("ious"), F.col("_p.issues").alias("issues"), F.col("_said").alias("said"),
     )
@@ -53,7 +53,7 @@ def metric_columns(digits: int = 6) -> dict[str, Column]:
     c = F.col
     out = class_metrics(c("pos"), c("neg"), c("tp"), c("tn"), c("fp"), c("n"))
     return out | {
-        "valid_rate": rate(c("valid"), c("n"), digits), "mean_iou": F.round(F.try_divide(c("iou_sum"), c("targets")), digits), "iou_at_50": rate(c("iou_hit"), c("targets"), digits),
+        "valid_rate": rate(c("valid"), c("n"), digits), "mean_iou": F.round(F.try_divide(c("iou_sum"), c("n_targets")), digits), "iou_at_50": rate(c("iou_hit"), c("n_targets"), digits),
         "region_accuracy": rate(c("region_ok"), c("n"), digits), "strict_accuracy": rate(c("strict"), c("n"), digits),
     }
 

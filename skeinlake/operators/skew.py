@@ -88,10 +88,10 @@ def running_sums(df: DataFrame, groups: list[str], order: list[str], amounts: di
     names = list(amounts)
     totals = placed.groupBy(*groups, "_part").agg(*[F.sum(F.coalesce(F.col(amounts[n]), F.lit(0))).alias(f"_t{i}") for i, n in enumerate(names)])
     earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_part", *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_o{i}") for i in range(len(names))])
+    offsets = totals.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_part").alias("_opart"), *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_o{i}") for i in range(len(names))])
     w = Window.partitionBy(*groups, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    on = offsets["_part"] == placed["_part"]
+    on = F.col("_opart") == F.col("_part")
     for i, g in enumerate(groups):
-        on = on & placed[g].eqNullSafe(offsets[f"_g{i}"])
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     out = placed.join(F.broadcast(offsets) if not groups else offsets, on)
-    return out.select(*[placed[c] for c in df.columns], *[(F.col(f"_o{i}") + F.sum(F.coalesce(placed[amounts[n]], F.lit(0))).over(w)).alias(n) for i, n in enumerate(names)])
+    return out.select(*df.columns, *[(F.col(f"_o{i}") + F.sum(F.coalesce(F.col(amounts[n]), F.lit(0))).over(w)).alias(n) for i, n in enumerate(names)])

@@ -42,7 +42,7 @@ JUDGED = f"""j0 AS (SELECT *, h >= 10 AND NOT (h BETWEEN 30 AND 33 AND task_type
       greatest(0, boxes[i].bbox[3] - boxes[i].bbox[1] - 9)::DOUBLE / (2 * (boxes[i].bbox[3] - boxes[i].bbox[1]) - greatest(0, boxes[i].bbox[3] - boxes[i].bbox[1] - 9)) ELSE 1.0 END) AS ious FROM j0),
   j AS (SELECT task_id, patient_id, split, task_type, label, region_level, view_scope, answer_label, 1 AS n, valid::INT AS valid, coalesce(answer_label = p, false)::INT AS pos, coalesce(answer_label = q, false)::INT AS neg,
     coalesce(answer_label = p AND said = p, false)::INT AS tp, coalesce(answer_label = q AND said = q, false)::INT AS tn, coalesce(answer_label = q AND said = p, false)::INT AS fp, (task_type <> 'grounding' AND said IS NULL)::INT AS invalid,
-    len(ious) AS targets, coalesce(list_sum(ious), 0.0) AS iou_sum, len(list_filter(ious, lambda v: v >= 0.5)) AS iou_hit,
+    len(ious) AS n_targets, coalesce(list_sum(ious), 0.0) AS iou_sum, len(list_filter(ious, lambda v: v >= 0.5)) AS iou_hit,
     CASE WHEN NOT valid THEN 0 ELSE len(boxes) - (h BETWEEN 34 AND 36)::INT * (task_type <> 'vqa')::INT END AS boxes, (valid AND task_type <> 'vqa')::INT AS region_ok,
     (task_type <> 'vqa' AND valid AND (task_type = 'grounding' OR coalesce(said = answer_label, false)) AND len(list_filter(ious, lambda v: v >= 0.5)) = len(ious))::INT AS strict FROM j1)"""
 
