@@ -59,8 +59,15 @@ def code_tokens(col: Column) -> Column:
     return F.regexp_extract_all(F.replace(F.lower(col), F.lit("-"), F.lit("_")), F.lit("[a-z0-9_]+"), F.lit(0))
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value made once: inside a lambda an expression would be made again for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def ngrams(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    join = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    return let(words, lambda w: F.when(F.size(w) >= n, join(w)).otherwise(none))
 
 
 def skeleton(col: Column, regions: list[str]) -> Column:
@@ -117,7 +124,7 @@ def find_region(prompt: Column, regions: list[str]) -> Column:
     """The longest region name that stands in a prompt as a whole word."""
     text = F.concat(F.lit(" "), F.regexp_replace(F.lower(prompt), "[^a-z0-9_]+", " "), F.lit(" "))
     names = F.array(*[F.lit(r) for r in sorted(regions, key=lambda r: (-len(r), r))])
-    return F.get(F.filter(names, lambda r: F.contains(text, F.concat(F.lit(" "), r, F.lit(" ")))), F.lit(0))
+    return let(text, lambda t: F.get(F.filter(names, lambda r: F.contains(t, F.concat(F.lit(" "), r, F.lit(" ")))), F.lit(0)))
 
 
 # Ordinal words and their index.

@@ -261,7 +261,7 @@ def pii_flags(spark, d):
     return _docs(spark, d).agg(*[F.sum(c.cast("long")).alias(n) for n, c in X.pii_flags(F.col("text")).items()])
 
 
-@C.add(over("tasks") + "SELECT task_id, prompt, CASE label WHEN NULL THEN NULL END AS none, (SELECT arg_min(r, (-length(r), r)) FROM (SELECT unnest([" + ", ".join(f"'{r}'" for r in _REGIONS) + "]) AS r) WHERE contains(' ' || regexp_replace(lower(prompt), '[^a-z0-9_]+', ' ', 'g') || ' ', ' ' || r || ' ')) AS region FROM t WHERE prompt IS NOT NULL".replace("prompt, CASE label WHEN NULL THEN NULL END AS none, ", ""))
+@C.add(over("tasks") + "SELECT task_id, (SELECT arg_min(r, (-length(r), r)) FROM (SELECT unnest([" + ", ".join(f"'{r}'" for r in _REGIONS) + "]) AS r) WHERE contains(' ' || regexp_replace(lower(prompt), '[^a-z0-9_]+', ' ', 'g') || ' ', ' ' || r || ' ')) AS region FROM t WHERE prompt IS NOT NULL")
 def regions_in_prompts(spark, d):
     return tasks(spark, d).where("prompt is not null").select("task_id", X.find_region(F.col("prompt"), _REGIONS).alias("region"))
 
