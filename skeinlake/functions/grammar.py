@@ -7,9 +7,11 @@ import re
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Fields of each task's JSON output and its classes.
 FIELDS = {"vqa": ("task", "answer", "class"), "grounding": ("task", "region", "boxes"), "grounded_vqa": ("task", "answer", "region", "class", "boxes")}
@@ -146,14 +148,19 @@ def _contract(text: Any, task: Any, sizes: dict[str, Any]) -> dict[str, Any]:
     return out | {"issues": sorted(set(issues)), "valid": not issues}
 
 
-@F.pandas_udf(PARSED)
-def parse_output(text: pd.Series, task: pd.Series, images: pd.Series) -> pd.DataFrame:
+_ARROW = to_arrow_type(PARSED)
+
+
+@F.arrow_udf(PARSED)
+def _parse(text: pa.Array, task: pa.Array, ant: pa.Array, pst: pa.Array) -> pa.Array:
+    rows = zip(text.to_pylist(), task.to_pylist(), ant.to_pylist(), pst.to_pylist())
+    return pa.array([_contract(t, k, {"ANT": a, "PST": p}) for t, k, a, p in rows], type=_ARROW)
+
+
+def parse_output(text: Column, task: Column, images: Column) -> Column:
     """Strict contract and lenient content of JSON outputs. ``images``: array of struct(view, image_size); the last of a view counts."""
-    rows = []
-    for t, k, im in zip(text, task, images):
-        sizes = {("PST" if i["view"] == "POST" else i["view"]): i["image_size"] for i in (im if im is not None else []) if i is not None}
-        rows.append(_contract(t, k, sizes))
-    return pd.DataFrame(rows, columns=[f.name for f in PARSED.fields])
+    size = lambda v: F.try_element_at(F.filter(images, lambda i: i["view"] == v), F.lit(-1))["image_size"]
+    return _parse(text, task, size("ANT"), size("POST"))
 
 
 _HEAD = re.compile(r"(?s)(?P<answer>.*?)\s*<REG>(?P<region>[^<>]+)</REG>\s*<CLS>(?P<label>[^<>]+)</CLS>(?P<tail>.*)")

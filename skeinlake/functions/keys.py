@@ -20,8 +20,9 @@ def clean_category(col: Column | str) -> Column:
     Null and blank values come out as null.
     """
     col = F.col(col) if isinstance(col, str) else col
+    plain = col.rlike("^[a-z0-9]+(_[a-z0-9]+)*$")  # most values need no rewriting
     cut = F.regexp_replace(F.lower(col), r"^[\s\u00a0]+|[\s\u00a0]*\.?[\s\u00a0]*$", "")
-    return F.nullif(F.regexp_replace(cut, r"[\s\u00a0_-]+", "_"), F.lit(""))
+    return F.when(plain, col).otherwise(F.nullif(F.regexp_replace(cut, r"[\s\u00a0_-]+", "_"), F.lit("")))
 
 
 def clean_split(col: Column | str) -> Column:

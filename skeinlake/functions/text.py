@@ -66,7 +66,7 @@ def let(value: Column, f) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     none = F.array().cast("array<string>")
-    join = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    join = lambda w: F.transform(F.slice(w, F.lit(1), F.size(w) - n + 1), lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, n)]))
     return let(words, lambda w: F.when(F.size(w) >= n, join(w)).otherwise(none))
 
 

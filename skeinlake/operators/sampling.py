@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_bits
+from ..session import Workspace
 from .components import connected_components
 from .skew import running_sums, take_lowest
 
@@ -46,19 +47,21 @@ def stratified_with_coverage(rows: DataFrame, key: str, stratum: str, cover: str
     First the row with the least hash of every ``cover`` value (forced); then each stratum's least hashes up to its quota less
     its forced rows; then a global cut by hash to the capacity left, or a global top-up. Adds ``stage``.
     """
-    hashed = rows.withColumn("_h", hash_bits(seed, key))
+    work = Workspace(rows.sparkSession, "stratified")
+    hashed = work.save(rows.select(key, stratum, cover, hash_bits(seed, key).alias("_h")), "hashed")
     forced = hashed.where(F.col(cover).isNotNull()).groupBy(cover).agg(F.min_by(F.struct(key, stratum), F.struct("_h", key)).alias("_f")).select("_f.*").distinct()
+    forced = work.save(forced, "forced")
     n_forced = forced.count()
     if n_forced > target:
         raise ValueError(f"coverage needs {n_forced} rows, more than the target {target}")
-    free = hashed.join(forced.select(key), key, "left_anti")
-    quotas = largest_remainder(rows.groupBy(stratum).agg(F.count("*").alias("n")), stratum, "n", target)
+    free = work.save(hashed.join(forced.select(key), key, "left_anti").select(key, stratum, "_h"), "free")
+    quotas = largest_remainder(hashed.groupBy(stratum).agg(F.count("*").alias("n")), stratum, "n", target)
     had = forced.groupBy(stratum).agg(F.count("*").alias("_had"))
     need = quotas.join(had, stratum, "left").select(stratum, F.greatest(F.col("quota") - F.coalesce("_had", F.lit(0)), F.lit(0)).alias("quota"))
-    proposed = take_lowest(free, [stratum], "_h", key, need).withColumn("_all", F.lit(1))
+    proposed = work.save(take_lowest(free, [stratum], "_h", key, need).withColumn("_all", F.lit(1)), "proposed")
     one = lambda n: rows.sparkSession.createDataFrame([(1, n)], "_all int, quota long")
     capacity = target - n_forced
-    kept = take_lowest(proposed, ["_all"], "_h", key, one(capacity))
+    kept = work.save(take_lowest(proposed, ["_all"], "_h", key, one(capacity)), "kept")
     rest = capacity - kept.count()
     out = forced.select(key, stratum, F.lit("forced").alias("stage")).unionByName(kept.select(key, stratum, F.lit("quota").alias("stage")))
     if rest > 0:
@@ -99,6 +102,7 @@ def class_balanced_epoch(rows: DataFrame, task: str, key: str, positive: Column,
     ``draw`` numbers the passes of a row. Tasks lacking a class are left as they are.
     """
     hashed = rows.withColumn("_pos", F.coalesce(positive, F.lit(False))).withColumn("_h", hash_bits(seed, key))
+    hashed = Workspace(rows.sparkSession, "epoch").save(hashed, "hashed")
     size = hashed.groupBy(task).agg(F.count("*").alias("_n"), F.sum(F.col("_pos").cast("long")).alias("_np"))
     both = size.where("_np > 0 and _np < _n").withColumn("_want", F.floor(F.col("_n") / 2))
     plan = both.select(task, F.explode(F.array(F.struct(F.lit(True).alias("_pos"), F.floor(F.col("_want") / F.col("_np")).alias("_base"), (F.col("_want") % F.col("_np")).alias("quota")), F.struct(F.lit(False).alias("_pos"), F.lit(0).cast("long").alias("_base"), (F.col("_n") - F.col("_want")).alias("quota")))).alias("p")).select(task, "p.*")

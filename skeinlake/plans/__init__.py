@@ -1 +1 @@
-
+"""Whole pipelines put together from the operators."""
