@@ -76,9 +76,11 @@ def resume_prefix(expected: DataFrame, given: DataFrame, key: str, order: str) -
 def windowed_counts(events: DataFrame, ts: str, keys: list[str], width: str, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Counts per time window and keys; rows later than ``late`` behind the newest are dropped by the watermark."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
+    events = events.withColumn(ts, F.col(ts).cast("timestamp"))  # a watermark needs a timestamp with zone
     return events.withWatermark(ts, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
 
 def sessions(events: DataFrame, ts: str, key: str, gap: str, late: str = "10 minutes") -> DataFrame:
     """Sessions of a key: a new one after ``gap`` without an event."""
+    events = events.withColumn(ts, F.col(ts).cast("timestamp"))
     return events.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
