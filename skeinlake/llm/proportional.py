@@ -3,7 +3,7 @@
 Units are grouped by their signature (one category per field; categories without a target count as one), so the search
 runs on signature counts: at most the product of (targets + 1) over the fields, whatever the number of units. A random
 start is repaired until it holds the floors, then counts are exchanged between two signatures as long as that lowers the
-total deviation from the targets. The units are drawn at random (by hash) within each signature.
+deviation from the targets, first its squares, then its absolute sum. The units are drawn at random (by hash) within each signature.
 
 Defined results
 - null or blank category: ``missing``; spellings that differ in case, blanks, hyphens, underscores or a final stop are one
@@ -83,15 +83,16 @@ class _Search:
         np.add.at(c, self.cat, self.x[:, None])
         return c
 
-    def _cost(self, count: np.ndarray, deviation: bool) -> np.ndarray:
-        short = np.maximum(0, self.floor - count) * 1e6
-        return short + np.abs(count - self.goal) if deviation else short
+    def _cost(self, count: np.ndarray, power: int) -> np.ndarray:
+        """Cost of each category: missing its floor outweighs all else; the deviation from its goal to a power (0: none)."""
+        short = np.maximum(0, self.floor - count) * (1e6 * max(1, self.total) ** max(0, power - 1))
+        return short + np.abs(count - self.goal) ** power if power else short
 
-    def _improve(self, deviation: bool) -> None:
+    def _improve(self, power: int) -> None:
         same = self.cat[:, None, :] == self.cat[None, :, :]
         for _ in range(100_000):
             c = self.counts()
-            less, more, now = self._cost(c - 1, deviation), self._cost(c + 1, deviation), self._cost(c, deviation)
+            less, more, now = self._cost(c - 1, power), self._cost(c + 1, power), self._cost(c, power)
             gain = ((less - now)[self.cat][:, None, :] + (more - now)[self.cat][None, :, :]) * ~same
             gain = gain.sum(axis=2)
             gain[self.x <= 0, :] = np.inf
@@ -103,7 +104,7 @@ class _Search:
             np.add.at(moved, self.cat[a], -1)
             np.add.at(moved, self.cat[b], 1)
             k, most = 1, int(min(self.x[a], self.n[b] - self.x[b]))
-            cost = lambda k: self._cost(c + k * moved, deviation).sum()
+            cost = lambda k: self._cost(c + k * moved, power).sum()
             while k * 2 <= most and cost(k * 2) < cost(k):
                 k *= 2
             self.x[a] -= k
@@ -111,8 +112,9 @@ class _Search:
 
     def run(self) -> np.ndarray:
         if len(self.n) and self.total:
-            self._improve(False)
-            self._improve(True)
+            self._improve(0)  # until the floors hold
+            self._improve(2)  # squares are smooth: exchanges of two reach their least sum, where absolute values could stick
+            self._improve(1)
         return self.x
 
 
@@ -141,6 +143,8 @@ class ProportionalSample:
 
     def sample(self) -> DataFrame:
         """``unit`` and its categories, exactly ``n_sample`` units."""
+        if not self.quotas:
+            return self.units.where("false").select("unit", *self.fields)
         spark = self.units.sparkSession
         quotas = spark.createDataFrame(self.quotas, ", ".join(f"{s} string" for s in self.sig) + ", quota long")
         return take_lowest(self.units, self.sig, "_h", "unit", F.broadcast(quotas)).select("unit", *self.fields)
