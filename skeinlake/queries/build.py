@@ -393,7 +393,7 @@ def next_turn_pairs(spark, d):
 @C.add("SELECT image, count(*) AS rows, count(DISTINCT task_key) AS tasks, string_agg(DISTINCT x.view, ',' ORDER BY x.view) AS views FROM (SELECT task_id AS task_key, unnest(images) AS x FROM multitask), LATERAL (SELECT x.image AS image) WHERE image IS NOT NULL GROUP BY image")
 def image_instances(spark, d):
     rows = table(spark, d, "multitask").select("task_id", F.explode("images").alias("x")).where("x.image is not null")
-    return rows.groupBy(F.col("x.image").alias("image")).agg(F.count("*").alias("rows"), F.count_distinct("task_id").alias("tasks"), F.array_join(F.array_sort(F.collect_set("x.view")), ",").alias("views"))
+    return rows.groupBy(F.col("x.image").alias("image")).agg(F.count("*").alias("rows"), F.count_distinct("task_id").alias("tasks"), F.nullif(F.array_join(F.array_sort(F.collect_set("x.view")), ","), F.lit("")).alias("views"))
 
 
 @C.add(over("tasks") + "SELECT image, arg_min(task_id, (('0x' || substr(sha256('meta:' || task_id), 1, 15))::BIGINT, task_id)) AS task_id FROM (SELECT task_id, unnest(images).image AS image FROM t) WHERE image IS NOT NULL GROUP BY image")
