@@ -103,8 +103,15 @@ def fingerprint(df: DataFrame, key: str, keys: list[str] | None = None, buckets:
 
 
 def crossing(df: DataFrame, what: dict[str, Column], split: str = "split") -> DataFrame:
-    """Values (patients, images, evidence...) that occur in more than one split: kind, value, the splits."""
-    one = F.array(*[F.struct(F.lit(n).alias("kind"), c.cast("string").alias("value")) for n, c in what.items()])
+    """Values (patients, images, evidence...) that occur in more than one split: kind, value, the splits, the rows that hold it.
+
+    An array stands for all its values, each once a row.
+    """
+    listed = {n: df.select(c.alias("c")).schema["c"].dataType.typeName() == "array" for n, c in what.items()}
+    none = F.array().cast("array<string>")
+    values = {n: F.array_distinct(F.coalesce(c.cast("array<string>"), none)) if listed[n] else F.array(c.cast("string")) for n, c in what.items()}
+    named = lambda n: lambda x: F.struct(F.lit(n).alias("kind"), x.alias("value"))
+    one = F.concat(*[F.transform(v, named(n)) for n, v in values.items()])
     rows = df.where(F.col(split).isNotNull()).select(split, F.explode(one).alias("w")).select(split, "w.*").where("value is not null")
     return rows.groupBy("kind", "value").agg(F.array_join(F.array_sort(F.collect_set(split)), "+").alias("splits"), F.count("*").alias("n")).where("splits like '%+%'")
 

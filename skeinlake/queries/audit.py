@@ -274,7 +274,7 @@ def coverage_profile(spark, d):
 
 @C.add(over("tasks") + " UNION ALL ".join(f"SELECT '{n}' AS kind, {c} AS value, array_to_string(list_sort(list_distinct(list(split))), '+') AS splits, count(*) AS n FROM t WHERE split IS NOT NULL AND {c} IS NOT NULL GROUP BY ALL HAVING count(DISTINCT split) > 1" for n, c in (("patient", "patient_id"), ("evidence", "evidence_id"), ("image", "images[1].image"))))
 def split_leakage(spark, d):
-    return P.crossing(tasks(spark, d), {"patient": F.col("patient_id"), "evidence": F.col("evidence_id"), "image": F.get("images", F.lit(0))["image"]})
+    return P.crossing(tasks(spark, d), {"patient": F.col("patient_id"), "evidence": F.col("evidence_id"), "image": F.col("images.image")})
 
 
 @C.add(f"SELECT p AS patient_id, count(DISTINCT s) AS n_splits, min(s) AS first_split, max(s) AS last_split FROM (SELECT {key('patient_id')} AS p, {split('split')} AS s FROM multitask UNION ALL SELECT {key('patient_id')}, {split('split')} FROM canonical UNION ALL SELECT {key('patient_id')}, {split('split')} FROM patient_splits) WHERE p IS NOT NULL AND s IS NOT NULL GROUP BY p HAVING count(DISTINCT s) > 1")
