@@ -42,14 +42,15 @@ def largest_remainder(counts: DataFrame, stratum: str, n: str, target: int) -> D
 
 
 def stratified_with_coverage(rows: DataFrame, key: str, stratum: str, cover: str, target: int, seed: str) -> DataFrame:
-    """A hash sample of ``target`` rows near proportional strata that still shows every value of ``cover``.
+    """A hash sample of ``target`` rows near proportional strata that still shows every value of ``cover`` (an array: all its values).
 
     First the row with the least hash of every ``cover`` value (forced); then each stratum's least hashes up to its quota less
     its forced rows; then a global cut by hash to the capacity left, or a global top-up. Adds ``stage``.
     """
     work = Workspace(rows.sparkSession, "stratified")
     hashed = work.save(rows.select(key, stratum, cover, hash_bits(seed, key).alias("_h")), "hashed")
-    forced = hashed.where(F.col(cover).isNotNull()).groupBy(cover).agg(F.min_by(F.struct(key, stratum), F.struct("_h", key)).alias("_f")).select("_f.*").distinct()
+    shown = hashed.withColumn(cover, F.explode(cover)) if hashed.schema[cover].dataType.typeName() == "array" else hashed
+    forced = shown.where(F.col(cover).isNotNull()).groupBy(cover).agg(F.min_by(F.struct(key, stratum), F.struct("_h", key)).alias("_f")).select("_f.*").distinct()
     forced = work.save(forced, "forced")
     n_forced = forced.count()
     if n_forced > target:

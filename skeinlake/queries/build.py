@@ -254,7 +254,7 @@ _ST = "st AS (SELECT task_id, coalesce(split, 'missing') || '|' || coalesce(regi
 
 def _strata(spark, d):
     s = F.concat_ws("|", *[F.coalesce(c, F.lit("missing")) for c in ("split", "region_level", "interaction_type", "answer_label")])
-    return tasks(spark, d).select("task_id", s.alias("stratum"), F.get("images", F.lit(0))["image"].alias("cover"))
+    return tasks(spark, d).select("task_id", s.alias("stratum"), F.col("images.image").alias("cover"))
 
 
 _Q = "q0 AS (SELECT stratum, count(*) AS n, sum(count(*)) OVER () AS total, ceil(sum(count(*)) OVER () * 0.3)::BIGINT AS target FROM st GROUP BY stratum), q1 AS (SELECT *, n * target // total AS f, n * target % total AS rem FROM q0), quota AS (SELECT stratum, n, f + (row_number() OVER (ORDER BY rem DESC, stratum) <= target - sum(f) OVER ())::INT AS quota, target FROM q1)"

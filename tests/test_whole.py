@@ -1,8 +1,10 @@
 """The whole job: every value, row and replicate takes part. SQL here counts what the registered SQL leaves out."""
 
+import hashlib
+
 import duckdb
 
-from skeinlake.queries import audit
+from skeinlake.queries import audit, build
 from skeinlake.queries.sqlkit import over
 from tools_compare import TABLES, canon
 
@@ -25,3 +27,24 @@ def test_images_of_every_place_leak(spark):
     kinds = (("patient", "patient_id", "t"), ("evidence", "evidence_id", "t"), ("image", "image", "(SELECT DISTINCT task_id, split, unnest(images).image AS image FROM t)"))
     one = "SELECT '{0}' AS kind, {1} AS value, array_to_string(list_sort(list_distinct(list(split))), '+') AS splits, count(*) AS n FROM {2} WHERE split IS NOT NULL AND {1} IS NOT NULL GROUP BY ALL HAVING count(DISTINCT split) > 1"
     same(spark, audit.split_leakage, over("tasks") + " UNION ALL ".join(one.format(*k) for k in kinds))
+
+
+def test_sample_shows_images_of_every_place(spark):
+    from skeinlake.operators.sampling import stratified_with_coverage, target_of
+
+    df = spark.createDataFrame([(f"t{i}", "s", [f"a{i % 3}", f"b{i % 4}", None]) for i in range(40)] + [("u", "s", None)], "id string, s string, c array<string>")
+    out = stratified_with_coverage(df, "id", "s", "c", 12, "r")
+    shown = out.where("stage = 'forced'").join(df, "id").selectExpr("explode(c) v").where("v is not null").distinct().count()
+    assert out.count() == out.select("id").distinct().count() == 12 and shown == 7
+    rows = build.tasks(spark, SF).select("task_id", "images.image").toPandas()
+    got = build.stratified_sample_with_coverage(spark, SF).toPandas()
+    images = lambda ids: {i for t, a in zip(rows.task_id, rows.image) if t in ids for i in (a if a is not None else ()) if i}
+    assert len(got) == len(set(got.task_id)) == target_of(len(rows), 0.3)
+    best = {}
+    for t, a in zip(rows.task_id, rows.image):
+        h = int(hashlib.sha256(f"r3:{t}".encode()).hexdigest()[:15], 16)
+        for i in a if a is not None else ():
+            if i and (h, t) < best.get(i, (h + 1, t)):
+                best[i] = (h, t)
+    forced = set(got.task_id[got.stage == "forced"])
+    assert forced == {t for _, t in best.values()} and images(forced) == images(set(rows.task_id))
