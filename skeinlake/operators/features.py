@@ -33,7 +33,7 @@ def composition(df: DataFrame, cluster: str, label: str) -> DataFrame:
     return df.groupBy(cluster, label).agg(F.count("*").alias("n"))
 
 
-def average_hash(vector, bits: int = 64):
-    """Bit string of a feature vector: 1 where a value is above the vector's mean."""
+def average_hash(vector):
+    """Bit string of a feature vector, a bit for each of its values: 1 where a value is above the vector's mean."""
     mean = F.aggregate(vector, F.lit(0.0), lambda a, v: a + v.cast("double")) / F.size(vector)
-    return F.array_join(F.transform(F.slice(vector, 1, bits), lambda v: F.when(v.cast("double") > mean, "1").otherwise("0")), "")
+    return F.array_join(F.transform(vector, lambda v: F.when(v.cast("double") > mean, "1").otherwise("0")), "")

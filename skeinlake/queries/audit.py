@@ -207,7 +207,14 @@ def duplicate_summary(spark, d):
 @C.add("SELECT vec_id, min(vec_id) OVER w AS class_id, count(*) OVER w AS members FROM (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x::DOUBLE > list_sum(list_transform(embedding, lambda y: y::DOUBLE)) / len(embedding) THEN '1' ELSE '0' END)[1:16], '') AS h FROM embeddings) WINDOW w AS (PARTITION BY h) QUALIFY members > 1")
 def ahash_duplicate_groups(spark, d):
     e = table(spark, d, "embeddings")
-    return P.duplicate_groups(e, "vec_id", V.average_hash(F.col("embedding"), 16))
+    return P.duplicate_groups(e, "vec_id", V.average_hash(F.col("embedding")))
+
+
+@C.add(r"SELECT rec_id, min(rec_id) OVER w AS class_id, count(*) OVER w AS members FROM (SELECT rec_id, regexp_replace(lower(trim(a_hash)), '^(0x|sha256[:=-])|[\s:]', '', 'g') AS h FROM whole_records) WHERE regexp_full_match(h, '[0-9a-f]{64}') WINDOW w AS (PARTITION BY h) QUALIFY members > 1")
+def image_ahash_duplicate_groups(spark, d):
+    from ..functions.keys import clean_digest
+
+    return P.duplicate_groups(table(spark, d, "whole_records"), "rec_id", clean_digest("a_hash"))
 
 
 @C.add("SELECT file, count(*) AS n FROM (SELECT CASE WHEN c = 1 THEN 'single' WHEN c = 2 THEN 'pair' ELSE 'more' END AS file FROM (SELECT count(*) AS c FROM whole_records WHERE sha256 IS NOT NULL GROUP BY regexp_replace(lower(trim(sha256)), '^sha256:', ''))) GROUP BY file")

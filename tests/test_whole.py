@@ -4,6 +4,8 @@ import hashlib
 
 import duckdb
 
+from skeinlake.operators.features import average_hash
+from skeinlake.operators.profile import duplicate_groups
 from skeinlake.queries import audit, build
 from skeinlake.queries.sqlkit import over
 from tools_compare import TABLES, canon
@@ -48,3 +50,10 @@ def test_sample_shows_images_of_every_place(spark):
                 best[i] = (h, t)
     forced = set(got.task_id[got.stage == "forced"])
     assert forced == {t for _, t in best.values()} and images(forced) == images(set(rows.task_id))
+
+
+def test_average_hash_takes_all_values(spark):
+    rows = [(1, [1.0] * 16 + [0.0] * 47 + [9.0]), (2, [1.0] * 16 + [0.0] * 46 + [9.0, 0.0]), (3, [2.0] * 16 + [0.0] * 47 + [9.5]), (4, [0.0] * 99 + [1.0]), (5, [0.0] * 98 + [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert sorted(map(tuple, duplicate_groups(df, "id", average_hash(df["v"])).collect())) == [(1, 1, 2), (3, 1, 2)]
+    assert audit.ahash_duplicate_groups(spark, SF).count() == 0
