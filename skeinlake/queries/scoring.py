@@ -133,9 +133,10 @@ def adjudication_queue(spark, d):
     return _two_models(spark, d).where("wrong_a <> wrong_b").select("task_id", "label")
 
 
-R = 20
+#: Replicates of the queries; their SQL, which sorts and joins every draw, has fewer.
+R, SQL_R = 2000, 20
 _PATIENTS = "p AS (SELECT patient_id, row_number() OVER (ORDER BY patient_id) - 1 AS i, count(*) OVER () AS np FROM (SELECT DISTINCT patient_id FROM j))"
-_DRAWS = f"w AS (SELECT r AS replicate, ('0x' || substr(sha256('boot:' || r || ':' || k), 1, 15))::BIGINT % (SELECT max(np) FROM p) AS i, count(*) AS weight FROM (SELECT unnest(range({R})) AS r), (SELECT unnest(range((SELECT max(np) FROM p))) AS k) GROUP BY 1, 2)"
+_DRAWS = f"w AS (SELECT r AS replicate, ('0x' || substr(sha256('boot:' || r || ':' || k), 1, 15))::BIGINT % (SELECT max(np) FROM p) AS i, count(*) AS weight FROM (SELECT unnest(range({SQL_R})) AS r), (SELECT unnest(range((SELECT max(np) FROM p))) AS k) GROUP BY 1, 2)"
 _REPL = f"b AS (SELECT task_type, replicate, {', '.join(f'sum({c} * weight) AS {c}' for c in J.COUNTS)} FROM (SELECT task_type, patient_id, {', '.join(f'sum({c}) AS {c}' for c in J.COUNTS)} FROM j GROUP BY ALL) JOIN p USING (patient_id) JOIN w USING (i) GROUP BY ALL)"
 
 
@@ -182,7 +183,7 @@ def paired_bootstrap(spark, d):
 _W = " + ".join(f"(u >= {p!r})::INT" for p in S.POISSON)
 
 
-@C.add(over("judged", f"pw AS (SELECT task_type, patient_id, sum(n) AS n, sum(tp + tn) AS ok, unnest(range({R})) AS replicate FROM j GROUP BY 1, 2)") + f"SELECT task_type, replicate, sum(n * w)::BIGINT AS n, sum(ok * w)::BIGINT AS ok FROM (SELECT *, {_W} AS w FROM (SELECT *, ('0x' || substr(sha256('boot:' || replicate || ':' || patient_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM pw)) WHERE w > 0 GROUP BY ALL")
+@C.add(over("judged", f"pw AS (SELECT task_type, patient_id, sum(n) AS n, sum(tp + tn) AS ok, unnest(range({SQL_R})) AS replicate FROM j GROUP BY 1, 2)") + f"SELECT task_type, replicate, sum(n * w)::BIGINT AS n, sum(ok * w)::BIGINT AS ok FROM (SELECT *, {_W} AS w FROM (SELECT *, ('0x' || substr(sha256('boot:' || replicate || ':' || patient_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM pw)) WHERE w > 0 GROUP BY ALL")
 def poisson_bootstrap(spark, d):
     per = judged(spark, d).groupBy("task_type", "patient_id").agg(F.sum("n").alias("n"), F.sum(F.col("tp") + F.col("tn")).alias("ok"))
     out = S.poisson_totals(per, "patient_id", ["task_type"], ["n", "ok"], R)

@@ -1,12 +1,14 @@
 """The whole job: every value, row and replicate takes part. SQL here counts what the registered SQL leaves out."""
 
 import hashlib
+from collections import Counter
 
 import duckdb
 
 from skeinlake.operators.features import average_hash
 from skeinlake.operators.profile import duplicate_groups
-from skeinlake.queries import audit, build
+from skeinlake.operators.stats import bootstrap_weights, intervals
+from skeinlake.queries import audit, build, scoring
 from skeinlake.queries.sqlkit import over
 from tools_compare import TABLES, canon
 
@@ -57,3 +59,15 @@ def test_average_hash_takes_all_values(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>")
     assert sorted(map(tuple, duplicate_groups(df, "id", average_hash(df["v"])).collect())) == [(1, 1, 2), (3, 1, 2)]
     assert audit.ahash_duplicate_groups(spark, SF).count() == 0
+
+
+def test_bootstrap_has_2000_replicates(spark):
+    df = spark.createDataFrame([(c,) for c in "edcba"], "c string")
+    want = Counter((r, "abcde"[int(hashlib.sha256(f"boot:{r}:{k}".encode()).hexdigest()[:15], 16) % 5]) for r in range(scoring.R) for k in range(5))
+    assert scoring.R == 2000 and {(x.replicate, x.c): x.weight for x in bootstrap_weights(df, "c", scoring.R).collect()} == want
+    made = spark.createDataFrame([("k", r, r / 100) for r in range(2000)], "k string, replicate int, m double")
+    i = intervals(made, ["k"], ["m"]).first()
+    assert (i.low, i.high, i.used) == (0.5, 19.49, 2000)
+    p = scoring.paired_bootstrap(spark, SF).first()
+    assert p.n == 2000
+    assert {x[0] for x in scoring.poisson_bootstrap(spark, SF).select("replicate").distinct().collect()} == set(range(2000))
