@@ -307,7 +307,7 @@ def class_balanced_epoch(spark, d):
 
 @C.add(over("tasks") + "SELECT task_id, row_number() OVER (ORDER BY sha256('8:' || task_id), task_id) AS position FROM t WHERE split = 'val'")
 def epoch_shuffle(spark, d):
-    return P.epoch_order(tasks(spark, d).where("split = 'val'").select("task_id"), "task_id", 7, 2)
+    return P.epoch_order(tasks(spark, d).select("task_id"), "task_id", 7, 2)
 
 
 @C.add("SELECT doc_id FROM documents ORDER BY ('0x' || substr(sha256('reservoir:' || doc_id), 1, 15))::BIGINT, doc_id LIMIT 100")

@@ -71,3 +71,7 @@ def test_bootstrap_has_2000_replicates(spark):
     p = scoring.paired_bootstrap(spark, SF).first()
     assert p.n == 2000
     assert {x[0] for x in scoring.poisson_bootstrap(spark, SF).select("replicate").distinct().collect()} == set(range(2000))
+
+
+def test_epoch_order_has_every_task(spark):
+    same(spark, build.epoch_shuffle, over("tasks") + "SELECT task_id, row_number() OVER (ORDER BY sha256('8:' || task_id), task_id) AS position FROM t")
