@@ -18,14 +18,18 @@ def pca_clusters(df: DataFrame, vector: str, k: int = 5, seed: int = 7) -> DataF
     return out.withColumn("pc", vector_to_array("_p")).drop("_v", "_s", "_p")
 
 
-def text_clusters(df: DataFrame, text: str, k: int = 5, terms: int = 4096, seed: int = 7) -> DataFrame:
-    """``df`` with ``cluster``: k-means of normalised TF-IDF over words and pairs of words."""
-    rows = df.where(F.length(F.trim(text)) > 0)
-    steps = [
-        RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[^\p{L}\p{N}]+", minTokenLength=2), NGram(n=2, inputCol="_w", outputCol="_b"),
-        SQLTransformer(statement="SELECT *, concat(_w, _b) AS _t FROM __THIS__"), CountVectorizer(inputCol="_t", outputCol="_c", vocabSize=terms, minDF=2),
-        IDF(inputCol="_c", outputCol="_i"), Normalizer(inputCol="_i", outputCol="_n"), KMeans(k=k, seed=seed, featuresCol="_n", predictionCol="cluster"),
+def term_counts(text: str) -> list:
+    """Stages that count every word and pair of words of ``text`` in ``_c``; the vocabulary leaves out none."""
+    return [
+        RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[^\p{L}\p{N}_]+"), NGram(n=2, inputCol="_w", outputCol="_b"),
+        SQLTransformer(statement="SELECT *, concat(_w, _b) AS _t FROM __THIS__"), CountVectorizer(inputCol="_t", outputCol="_c", vocabSize=2**31 - 1),
     ]
+
+
+def text_clusters(df: DataFrame, text: str, k: int = 5, seed: int = 7) -> DataFrame:
+    """``df`` with ``cluster``: k-means of normalised TF-IDF over all words and pairs of words."""
+    rows = df.where(F.length(F.trim(text)) > 0)
+    steps = [*term_counts(text), IDF(inputCol="_c", outputCol="_i"), Normalizer(inputCol="_i", outputCol="_n"), KMeans(k=k, seed=seed, featuresCol="_n", predictionCol="cluster")]
     return Pipeline(stages=steps).fit(rows).transform(rows).drop("_w", "_b", "_t", "_c", "_i", "_n")
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 
 import duckdb
 
-from skeinlake.operators.features import average_hash
+from skeinlake.operators.features import average_hash, term_counts
 from skeinlake.operators.profile import duplicate_groups
 from skeinlake.operators.stats import bootstrap_weights, intervals
 from skeinlake.queries import audit, build, scoring
@@ -75,3 +75,11 @@ def test_bootstrap_has_2000_replicates(spark):
 
 def test_epoch_order_has_every_task(spark):
     same(spark, build.epoch_shuffle, over("tasks") + "SELECT task_id, row_number() OVER (ORDER BY sha256('8:' || task_id), task_id) AS position FROM t")
+
+
+def test_every_term_is_counted(spark):
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(d, 9000, 2)),) for d in (0, 1)] + [("a b",)], "text string")
+    for s in term_counts("text")[:-1]:
+        df = s.transform(df)
+    terms = term_counts("text")[-1].fit(df).vocabulary
+    assert len(terms) == len(set(terms)) == 9000 + 8998 + 3 and {"a", "a b", "w8999"} <= set(terms)
