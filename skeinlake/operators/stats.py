@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import hash_bits
 from ..functions.rates import rate
+from ..functions.text import let
 from .skew import running_sums
 
 #: Cumulative Poisson(1) probabilities; beyond the last the weight is their number.
@@ -34,7 +35,7 @@ def bootstrap_weights(clusters: DataFrame, cluster: str, replicates: int, seed:
 def poisson_weight(seed: str, replicate: Column, cluster: Column) -> Column:
     """Poisson(1) weight of a cluster in a replicate, from its hash alone: no draw has to be shared or joined."""
     u = hash_bits(seed, replicate, cluster, digits=13) / F.lit(float(2**52))
-    return sum(((u >= p).cast("long") for p in POISSON[1:]), (u >= POISSON[0]).cast("long"))
+    return let(u, lambda v: sum(((v >= p).cast("long") for p in POISSON[1:]), (v >= POISSON[0]).cast("long")))
 
 
 def replicate_totals(per_cluster: DataFrame, weights: DataFrame, cluster: str, keys: list[str], counts: list[str]) -> DataFrame:
@@ -50,10 +51,10 @@ def poisson_totals(per_cluster: DataFrame, cluster: str, keys: list[str], counts
 
 def order_interval(values: Column, level: float = 0.95) -> Column:
     """Struct(low, high, used): order statistics of an array at Python-rounded places; nulls are left out, none gives nulls."""
-    tail = (1 - level) / 2
+    tail = round((1 - level) / 2, 10)
     kept = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
     at = lambda q: F.get(kept, F.bround((F.size(kept) - 1) * F.lit(q), 0).cast("int"))
-    return F.struct(at(tail).alias("low"), at(1 - tail).alias("high"), F.size(kept).cast("long").alias("used"))
+    return F.struct(at(tail).alias("low"), at(round(1 - tail, 10)).alias("high"), F.size(kept).cast("long").alias("used"))
 
 
 def intervals(replicates: DataFrame, keys: list[str], metrics: Iterable[str]) -> DataFrame:

@@ -204,7 +204,7 @@ def duplicate_summary(spark, d):
     return P.duplicate_summary(_docs(spark, d), X.squeeze(F.col("text")))
 
 
-@C.add("SELECT vec_id, min(vec_id) OVER w AS class_id, count(*) OVER w AS members FROM (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x::DOUBLE > list_sum(list_transform(embedding, lambda y: y::DOUBLE)) / len(embedding) THEN '1' ELSE '0' END)[1:16], '') AS h FROM embeddings) WINDOW w AS (PARTITION BY h) QUALIFY members > 1")
+@C.add("SELECT vec_id, min(vec_id) OVER w AS class_id, count(*) OVER w AS members FROM (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x::DOUBLE > list_sum(list_transform(embedding, lambda y: y::DOUBLE)) / len(embedding) THEN '1' ELSE '0' END), '') AS h FROM embeddings) WINDOW w AS (PARTITION BY h) QUALIFY members > 1")
 def ahash_duplicate_groups(spark, d):
     e = table(spark, d, "embeddings")
     return P.duplicate_groups(e, "vec_id", V.average_hash(F.col("embedding")))
@@ -279,7 +279,10 @@ def coverage_profile(spark, d):
     return tasks(spark, d).groupBy("label", "view_scope").agg(F.count("*").alias("tasks"), F.count_distinct("patient_id").alias("patients"), has("vqa").alias("has_vqa"), has("grounding").alias("has_grounding"), has("grounded_vqa").alias("has_grounded"), F.sum(F.when(F.col("targets").isNotNull(), F.size("targets"))).cast("long").alias("boxes"))
 
 
-@C.add(over("tasks") + " UNION ALL ".join(f"SELECT '{n}' AS kind, {c} AS value, array_to_string(list_sort(list_distinct(list(split))), '+') AS splits, count(*) AS n FROM t WHERE split IS NOT NULL AND {c} IS NOT NULL GROUP BY ALL HAVING count(DISTINCT split) > 1" for n, c in (("patient", "patient_id"), ("evidence", "evidence_id"), ("image", "images[1].image"))))
+_CROSS = "SELECT '{0}' AS kind, {1} AS value, array_to_string(list_sort(list_distinct(list(split))), '+') AS splits, count(*) AS n FROM {2} WHERE split IS NOT NULL AND {1} IS NOT NULL GROUP BY ALL HAVING count(DISTINCT split) > 1"
+
+
+@C.add(over("tasks") + " UNION ALL ".join(_CROSS.format(*k) for k in (("patient", "patient_id", "t"), ("evidence", "evidence_id", "t"), ("image", "image", "(SELECT DISTINCT task_id, split, unnest(images).image AS image FROM t)"))))
 def split_leakage(spark, d):
     return P.crossing(tasks(spark, d), {"patient": F.col("patient_id"), "evidence": F.col("evidence_id"), "image": F.col("images.image")})
 

@@ -249,7 +249,7 @@ def hash_split_80_10_10(spark, d):
     return P.cut_by_running_count(g, "component", "n", "17").select("component", "n", "split")
 
 
-_ST = "st AS (SELECT task_id, coalesce(split, 'missing') || '|' || coalesce(region_level, 'missing') || '|' || coalesce(interaction_type, 'missing') || '|' || coalesce(answer_label, 'missing') AS stratum, images[1].image AS cover, ('0x' || substr(sha256('r3:' || task_id), 1, 15))::BIGINT AS h FROM t)"
+_ST = "st AS (SELECT task_id, coalesce(split, 'missing') || '|' || coalesce(region_level, 'missing') || '|' || coalesce(interaction_type, 'missing') || '|' || coalesce(answer_label, 'missing') AS stratum, list_transform(images, lambda x: x.image) AS covers, ('0x' || substr(sha256('r3:' || task_id), 1, 15))::BIGINT AS h FROM t)"
 
 
 def _strata(spark, d):
@@ -267,7 +267,7 @@ def largest_remainder_quota(spark, d):
     return P.largest_remainder(counts, "stratum", "n", P.target_of(total, 0.3))
 
 
-@C.add(over("tasks", _ST, _Q) + """, forced AS (SELECT DISTINCT arg_min(task_id, (h, task_id)) AS task_id FROM st WHERE cover IS NOT NULL GROUP BY cover), fr AS (SELECT st.* FROM st WHERE task_id NOT IN (FROM forced)),
+@C.add(over("tasks", _ST, _Q) + """, forced AS (SELECT DISTINCT arg_min(task_id, (h, task_id)) AS task_id FROM (SELECT task_id, h, unnest(covers) AS cover FROM st) WHERE cover IS NOT NULL GROUP BY cover), fr AS (SELECT st.* FROM st WHERE task_id NOT IN (FROM forced)),
   had AS (SELECT stratum, count(*) AS had FROM st WHERE task_id IN (FROM forced) GROUP BY 1), prop AS (SELECT fr.*, row_number() OVER (PARTITION BY fr.stratum ORDER BY h, task_id) AS r FROM fr),
   kept AS (SELECT task_id, h FROM prop JOIN quota USING (stratum) LEFT JOIN had USING (stratum) WHERE r <= quota - coalesce(had, 0) ORDER BY h, task_id LIMIT (SELECT max(target) FROM quota) - (SELECT count(*) FROM forced)),
   more AS (SELECT task_id FROM fr WHERE task_id NOT IN (SELECT task_id FROM kept) ORDER BY h, task_id LIMIT (SELECT max(target) FROM quota) - (SELECT count(*) FROM forced) - (SELECT count(*) FROM kept))
@@ -305,7 +305,7 @@ def class_balanced_epoch(spark, d):
     return P.class_balanced_epoch(rows, "task_type", "task_id", F.col("answer_label").isin("yes", "abnormal"), "epoch").select("task_id", "task_type", "draw")
 
 
-@C.add(over("tasks") + "SELECT task_id, row_number() OVER (ORDER BY sha256('8:' || task_id), task_id) AS position FROM t WHERE split = 'val'")
+@C.add(over("tasks") + "SELECT task_id, row_number() OVER (ORDER BY sha256('8:' || task_id), task_id) AS position FROM t")
 def epoch_shuffle(spark, d):
     return P.epoch_order(tasks(spark, d).select("task_id"), "task_id", 7, 2)
 
