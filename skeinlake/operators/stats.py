@@ -44,8 +44,15 @@ def replicate_totals(per_cluster: DataFrame, weights: DataFrame, cluster: str, k
 
 
 def poisson_totals(per_cluster: DataFrame, cluster: str, keys: list[str], counts: list[str], replicates: int, seed: str = "boot") -> DataFrame:
-    """Replicate sums under Poisson weights, without a join: each cluster row is expanded and combined map-side."""
-    rows = per_cluster.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_w", poisson_weight(seed, F.col("replicate"), F.col(cluster))).where("_w > 0")
+    """Replicate sums under Poisson weights, without a join: each cluster row is expanded and combined map-side.
+
+    Clusters are few beside replicates x clusters, so they are spread over all tasks before they are expanded.
+    """
+    parts = max(int(per_cluster.sparkSession.conf.get("spark.sql.shuffle.partitions")), per_cluster.sparkSession.sparkContext.defaultParallelism)
+    chunk = 50
+    spread = per_cluster.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // chunk)))).repartition(parts, "_k", cluster)
+    here = F.sequence(F.col("_k") * chunk, F.least(F.col("_k") * chunk + chunk - 1, F.lit(replicates - 1)))
+    rows = spread.withColumn("replicate", F.explode(here)).withColumn("_w", poisson_weight(seed, F.col("replicate"), F.col(cluster))).where("_w > 0")
     return rows.groupBy(*keys, "replicate").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in counts])
 
 
