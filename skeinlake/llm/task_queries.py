@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Workspace
 from ..tables import table
-from .block_sample import block_sample, first_deliveries, number_units
+from .block_sample import Registry, block_sample, first_deliveries
 from .group_split import assign_splits, entity_groups, split_conflicts
 from .overlap import cross_split_pairs, overlap_classes, overlap_report
 from .proportional import ProportionalSample
@@ -55,12 +56,21 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return assign_splits(_groups(spark, d), table(spark, d, "split_targets"))
 
 
+def _numbers(spark: SparkSession, d: str) -> DataFrame:
+    """The numbers of a registry that saw the whole table at once; deliveries in order give the same ones."""
+    registry = Registry(spark, Workspace(spark, "registry").path("numbers"))
+    return registry.extend(first_deliveries(table(spark, d, "multitask"), "task_id", "batch"))
+
+
 def p6_sample(spark: SparkSession, d: str) -> DataFrame:
-    numbers = number_units(first_deliveries(table(spark, d, "multitask"), "task_id", "batch"))
-    return block_sample(numbers).withColumnRenamed("unit", "task_id")
+    return block_sample(_numbers(spark, d)).withColumnRenamed("unit", "task_id")
+
+
+def p6_registry(spark: SparkSession, d: str) -> DataFrame:
+    return _numbers(spark, d).withColumnRenamed("unit", "task_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_sample, p4_found, p4_classes, p4_report, p5_found, p5_splits, p6_sample)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_sample, p4_found, p4_classes, p4_report, p5_found, p5_splits, p6_sample, p6_registry)}
 
 _K = "lower(trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))"
 _CAT = r"nullif(regexp_replace(regexp_replace(lower({}), '^\s+|\s*\.?\s*$', '', 'g'), '[\s_-]+', '_', 'g'), '')"
@@ -95,6 +105,8 @@ ORACLE = {
       SELECT p AS patient_id FROM groups WHERE component IN (SELECT component FROM said JOIN groups USING (p) WHERE s IS NOT NULL GROUP BY component HAVING count(DISTINCT s) > 1)""",
     "p5_splits": f"""WITH RECURSIVE {_GROUPS}, ranges AS (SELECT {_SPLIT.format("split", "split")} AS s, sum(target_permille) OVER (ORDER BY {_SPLIT.format("split", "split")}) AS upto, target_permille AS p FROM split_targets)
       SELECT g.p AS patient_id, component, s AS new_split FROM groups g JOIN ranges r ON ('0x' || substr(sha256('group-split:' || component), 1, 15))::BIGINT % (SELECT sum(target_permille) FROM split_targets) BETWEEN r.upto - r.p AND r.upto - 1""",
+    "p6_registry": f"""SELECT unit AS task_id, CASE WHEN b IS NULL THEN -row_number() OVER (PARTITION BY b IS NULL ORDER BY sha256(unit), unit) ELSE row_number() OVER (PARTITION BY b IS NULL ORDER BY b, sha256(unit), unit) - 1 END AS seq
+      FROM (SELECT {_K.format("task_id")} AS unit, min(batch) AS b FROM multitask WHERE task_id IS NOT NULL GROUP BY 1)""",
     "p6_sample": f"""WITH u AS (SELECT {_K.format("task_id")} AS unit, min(batch) AS b FROM multitask WHERE task_id IS NOT NULL GROUP BY 1),
       n AS (SELECT unit, row_number() OVER (ORDER BY b, sha256(unit), unit) - 1 AS seq FROM u),
       chosen AS (SELECT b * 1000 + p AS seq FROM (SELECT b, p, row_number() OVER (PARTITION BY b ORDER BY md5('blocks:' || b || ':' || p), p) AS r FROM (SELECT unnest(range((SELECT max(seq) // 1000 + 1 FROM n))) AS b), (SELECT unnest(range(1000)) AS p)) WHERE r <= 150)

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from skeinlake.llm import overlap
-from skeinlake.llm.block_sample import block_sample, first_deliveries, number_units
+from skeinlake.llm.block_sample import Registry, block_sample, first_deliveries, number_units
 from skeinlake.llm.group_split import assign_splits, entity_groups, split_conflicts
 from skeinlake.llm.proportional import ProportionalSample, _Search, Target
 
@@ -137,15 +137,42 @@ def test_sample_is_stable_as_deliveries_come(spark):
     sample = lambda d: {r.unit: r.seq for r in block_sample(number_units(first_deliveries(d, "task_id", "batch"))).collect()}
     whole = sample(df)
     assert sample(df.repartition(9)) == whole and sample(df.union(df)) == whole
-    before = sample(df.where("batch is null or batch <= 3"))
-    assert before and before.items() <= whole.items()
+    for upto in ("batch <= 3", "batch is null or batch <= 3"):
+        before = sample(df.where(upto))
+        assert before and before.items() <= whole.items()
     assert 0.13 < len(whole) / 6001 < 0.17
-    full = [s for s in whole.values() if s < 6000]
+    full = [s for s in whole.values() if 0 <= s < 6000]
     assert all(sum(s // 1000 == b for s in full) == 150 for b in range(6))
+    more = spark.createDataFrame([(f"odd{i}", None, "") for i in range(300)], df.schema)
+    after = sample(df.union(more))
+    assert {k: v for k, v in whole.items() if k != "nobatch"}.items() <= after.items()
     assert sample(df.where("false")) == {}
 
 
-def test_registry_keeps_numbers(spark):
-    old = number_units(first_deliveries(spark.createDataFrame([("a", 2), ("b", 1)], "t string, b int"), "t", "b"))
-    new = number_units(first_deliveries(spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 0)], "t string, b int"), "t", "b"), registry=old)
-    assert {r.unit: r.seq for r in new.collect()} == {"b": 0, "a": 1, "d": 2, "c": 3}
+def test_registry_keeps_every_member(spark, tmp_path):
+    rng = random.Random(5)
+    make = lambda rows: first_deliveries(spark.createDataFrame(rows, "t string, b int"), "t", "b")
+    reg = Registry(spark, str(tmp_path / "reg"))
+    had: dict = {}
+    steps = [
+        [(f"t{i}", 2 + i // 1000) for i in range(3000)],
+        [(f"n{i}", None) for i in range(700)] + [("t5", None)],  # no number
+        [(f"late{i}", 1) for i in range(900)],  # an old delivery
+        [(f"T{rng.randrange(3000)} ", rng.randrange(1, 9)) for _ in range(800)],  # redelivered
+        [(f"t{i}", 9) for i in range(3000, 4000)] + [(None, 9), ("n3", 9)],
+    ]
+    for rows in steps:
+        numbers = {r.unit: r.seq for r in reg.extend(make(rows)).collect()}
+        sample = {r.unit: r.seq for r in block_sample(reg.numbers()).collect()}
+        assert had.items() <= sample.items() and len(set(numbers.values())) == len(numbers)
+        had = sample
+    assert len(numbers) == 3000 + 700 + 900 + 1000 and len(had) > 700
+    again = Registry(spark, str(tmp_path / "reg"))
+    (tmp_path / "reg" / "part9").mkdir()  # a part that was never finished
+    assert {r.unit: r.seq for r in again.extend(make(steps[0])).collect()} == numbers
+
+
+def test_sample_plan_broadcasts_nothing(spark):
+    numbers = spark.range(50_000_000).select(F.concat(F.lit("u"), "id").alias("unit"), F.col("id").alias("seq"))
+    plan = block_sample(numbers)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
