@@ -1,14 +1,19 @@
 """A sample whose category shares follow given targets, with a minimum from small categories, by swap repair.
 
 Units are grouped by their signature (one category per field; categories without a target count as one), so the search
-runs on signature counts: at most the product of (targets + 1) over the fields, whatever the number of units. A random
-start is repaired until it holds the floors, then counts are exchanged between two signatures as long as that lowers the
-deviation from the targets, first its squares, then its absolute sum. The units are drawn at random (by hash) within each signature.
+runs on signature counts: at most the product of (targets + 1) over the fields, whatever the number of units. The start is
+random but holds the floors: each small category is drawn its minimum first, the rest is filled at random. Then counts are
+exchanged between two signatures as long as that lowers the deviation from the targets, first its squares, then its absolute
+sum; every exchange lowers a cost that takes finitely many values, so the search ends by itself. The units are drawn at
+random (by hash) within each signature. What the repaired sample still misses is the report: too few units, or joint limits.
 
 Defined results
 - null or blank category: ``missing``; spellings that differ in case, blanks, hyphens, underscores or a final stop are one
 - null unit id: the row is no unit; a unit with several rows has the categories of its last row (time, then row id)
 - a target that cannot be met is reported, never forced; no units or no targets give an empty sample
+- met: the minimum is held and the rows lie within one of the exact share; ``short_by`` counts rows below the greater of
+  goal and minimum, ``over_by`` rows above the goal; ``reason`` is ``too_few`` where all units there are would not do, else
+  ``joint`` (other targets or their units stand against it), null where the target is met
 - two runs, or two layouts of the same rows, draw the same units
 """
 
@@ -68,15 +73,29 @@ class _Search:
         np.add.at(have, self.cat, self.n[:, None])
         self.have = have
         self.floor = np.minimum(np.array([floor.get(k, 0) for k in cats]), have)
-        rng = np.random.default_rng(seed)
-        if not total:
-            self.x = np.zeros_like(self.n)
-        elif self.n.sum() < 10**9:
-            self.x = rng.multivariate_hypergeometric(self.n, total, method="marginals")
-        else:
-            share = self.n * (total / self.n.sum())
-            self.x = np.floor(share).astype(np.int64)
-            self.x[np.argsort(-(share - self.x), kind="stable")[: total - self.x.sum()]] += 1
+        self.x = self._start(np.random.default_rng(seed))
+
+    def _start(self, rng: np.random.Generator) -> np.ndarray:
+        """A random sample that holds the floors as far as the total allows: the scarcest category first."""
+        x, left = np.zeros_like(self.n), self.total
+        for c in np.argsort(self.have, kind="stable") if len(self.n) else ():
+            holds = (self.cat == c).any(axis=1)
+            need = min(int(self.floor[c] - x[holds].sum()), left)
+            if need > 0:
+                x[holds] += self._draw(rng, (self.n - x)[holds], need)
+                left -= need
+        return x + self._draw(rng, self.n - x, min(left, int((self.n - x).sum())))
+
+    @staticmethod
+    def _draw(rng: np.random.Generator, free: np.ndarray, k: int) -> np.ndarray:
+        if k <= 0:
+            return np.zeros_like(free)
+        if free.sum() < 10**9:
+            return rng.multivariate_hypergeometric(free, k, method="marginals")
+        share = free * (k / free.sum())
+        x = np.floor(share).astype(np.int64)
+        x[np.argsort(-(share - x), kind="stable")[: k - x.sum()]] += 1
+        return x
 
     def counts(self) -> np.ndarray:
         c = np.zeros(len(self.goal), dtype=np.int64)
@@ -89,12 +108,14 @@ class _Search:
         return short + np.abs(count - self.goal) ** power if power else short
 
     def _improve(self, power: int) -> None:
-        same = self.cat[:, None, :] == self.cat[None, :, :]
-        for _ in range(100_000):
+        while True:
             c = self.counts()
-            less, more, now = self._cost(c - 1, power), self._cost(c + 1, power), self._cost(c, power)
-            gain = ((less - now)[self.cat][:, None, :] + (more - now)[self.cat][None, :, :]) * ~same
-            gain = gain.sum(axis=2)
+            now = self._cost(c, power)
+            less, more = self._cost(c - 1, power) - now, self._cost(c + 1, power) - now
+            gain = less[self.cat].sum(axis=1)[:, None] + more[self.cat].sum(axis=1)[None, :]
+            for f in range(self.cat.shape[1]):  # a field in which both signatures agree does not change
+                k = self.cat[:, f]
+                gain -= np.where(k[:, None] == k[None, :], (less + more)[k][:, None], 0.0)
             gain[self.x <= 0, :] = np.inf
             gain[:, self.x >= self.n] = np.inf
             a, b = np.unravel_index(np.argmin(gain), gain.shape)
@@ -134,9 +155,13 @@ class ProportionalSample:
         sizes = sorted((tuple(r[:-1]), r[-1]) for r in self.units.groupBy(*self.sig).agg(F.count("*")).collect()) if self.fields else []
         self.n_units = self.units.count()
         self.n_sample = math.ceil(round(fraction * self.n_units, 9))
-        has = [F.sum(F.array_contains(f"all_{t.field}", t.category).cast("long")) for t in self.targets if t.field in self.fields]
-        counted = iter(self.units.agg(*has).first() if has else ())
-        self.available = [(next(counted) or 0) if t.field in self.fields else 0 for t in self.targets]
+        mine = [t for t in self.targets if t.field in self.fields]
+        any_row = [F.sum(F.array_contains(f"all_{t.field}", t.category).cast("long")) for t in mine]
+        last_row = [F.sum((F.col(t.field) == t.category).cast("long")) for t in mine]
+        counted = [v or 0 for v in self.units.agg(*any_row, *last_row).first()] if mine else []
+        at = {t: i for i, t in enumerate(mine)}
+        self.available = [counted[at[t]] if t in at else 0 for t in self.targets]
+        self.available_last = [counted[len(mine) + at[t]] if t in at else 0 for t in self.targets]
         search = _Search([s for s, _ in sizes], [n for _, n in sizes], self.fields, self.targets, self.n_sample if sizes else 0, 20260101)
         self.quotas = [(*s, int(x)) for (s, _), x in zip(sizes, search.run())]
         self.reached = search.counts()
@@ -150,12 +175,23 @@ class ProportionalSample:
         return take_lowest(self.units, self.sig, "_h", "unit", F.broadcast(quotas)).select("unit", *self.fields)
 
     def report(self) -> DataFrame:
-        """One row per target: units that have the category, rows wanted (goal, minimum), rows reached, what fails."""
+        """One row per target: units that have the category (by any row, by their last row), rows wanted, rows the repaired
+        sample holds, by how many it misses and why."""
         rows = []
         for i, t in enumerate(self.targets):
-            goal = -(-t.permille * self.n_sample // 1000)
+            share = t.permille * self.n_sample / 1000
+            goal = math.ceil(round(share, 9))
             got = int(self.reached[i]) if self.fields else 0
-            rows.append((t.field, t.shown, self.available[i], goal, t.floor, got, max(goal, t.floor) > self.available[i], got * 1000 / self.n_sample if self.n_sample else None, t.permille))
+            want = max(goal, t.floor)
+            few = self.available_last[i] < want
+            met = got >= t.floor and abs(got - share) < 1 or t.floor > share and got == t.floor
+            why = None if met else "too_few" if few else "joint"
+            rows.append((t.field, t.shown, self.available[i], self.available_last[i], goal, t.floor, got, met, max(0, want - got), max(0, got - want), why, got * 1000 / self.n_sample if self.n_sample else None, t.permille))
         return self.units.sparkSession.createDataFrame(
-            rows, "field_name string, category string, available long, goal_rows long, min_rows long, sample_rows long, cannot_be_met boolean, sample_permille double, target_permille int"
+            rows, "field_name string, category string, available long, available_last long, goal_rows long, min_rows long, sample_rows long, met boolean, short_by long, over_by long, reason string, sample_permille double, target_permille int"
         )
+
+    def cannot_be_met(self) -> DataFrame:
+        """Targets the repaired sample falls short of that no sample could meet: fewer units than wanted have the category in
+        any of their rows. The search names the candidates (a category with too few units is always among them), the count decides."""
+        return self.report().where("short_by > 0").where(F.col("available") < F.greatest("goal_rows", "min_rows")).select("field_name", "category")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import clean_split
 from ..session import Workspace
 from ..tables import table
 from .block_sample import Registry, block_sample, first_deliveries
@@ -20,7 +21,7 @@ def _share(spark: SparkSession, d: str) -> ProportionalSample:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _share(spark, d).report().where("cannot_be_met").select("field_name", "category")
+    return _share(spark, d).cannot_be_met()
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +32,29 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     return _share(spark, d).sample().withColumnRenamed("unit", "task_id")
 
 
+def p3_limits(spark: SparkSession, d: str) -> DataFrame:
+    """What the targets ask for and what there is, without the sample."""
+    return _share(spark, d).report().select("field_name", "category", "available", "available_last", "goal_rows", "min_rows")
+
+
+def p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any proportional sample, as rows: its size, repeated or unknown tasks, categories that are not those of
+    the last row, minimums not held although enough tasks have the category, report rows that differ from a recount."""
+    s = _share(spark, d)
+    got, report = Workspace(spark, "checks").save(s.sample(), "sample"), s.report()
+    clean = F.coalesce(clean_split("category"), F.lit("missing"))
+    pairs = got.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("c")) for f in s.fields])).alias("r")).groupBy("r.field_name", "r.c").agg(F.count("*").alias("n"))
+    both = report.withColumn("c", clean).join(pairs, ["field_name", "c"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    units = s.units.select("unit", F.struct(*s.fields).alias("own"))
+    joined = got.select("unit", F.struct(*s.fields).alias("said")).join(units, "unit", "left")
+    one = lambda df, name, value: df.agg(F.coalesce(value, F.lit(0)).cast("long").alias("value")).select(F.lit(name).alias("name"), "value")
+    return (
+        one(got, "rows", F.count("*")).unionByName(one(got, "distinct_tasks", F.count_distinct("unit")))
+        .unionByName(one(joined, "unknown_tasks", F.sum(F.col("own").isNull().cast("long")))).unionByName(one(joined, "other_categories", F.sum((F.col("own") != F.col("said")).cast("long"))))
+        .unionByName(one(both, "minimums_broken", F.sum((F.col("n") < F.least("min_rows", "available_last")).cast("long")))).unionByName(one(both, "report_differs", F.sum((F.col("n") != F.col("sample_rows")).cast("long"))))
+    )
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = cross_split_pairs(table(spark, d, "whole_records"), table(spark, d, "multitask"))
     return pairs.select(F.least("rec_t", "rec_e").alias("rec_a"), F.greatest("rec_t", "rec_e").alias("rec_b")).distinct()
@@ -70,7 +94,7 @@ def p6_registry(spark: SparkSession, d: str) -> DataFrame:
     return _numbers(spark, d).withColumnRenamed("unit", "task_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_sample, p4_found, p4_classes, p4_report, p5_found, p5_splits, p6_sample, p6_registry)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_sample, p3_limits, p3_checks, p4_found, p4_classes, p4_report, p5_found, p5_splits, p6_sample, p6_registry)}
 
 _K = "lower(trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))"
 _CAT = r"nullif(regexp_replace(regexp_replace(lower({}), '^\s+|\s*\.?\s*$', '', 'g'), '[\s_-]+', '_', 'g'), '')"
@@ -92,7 +116,21 @@ def _p3_have(field: str) -> str:
     return f"SELECT '{field}' AS field_name, coalesce({cat}, 'missing') AS cat, count(DISTINCT {_K.format('task_id')}) AS n FROM multitask WHERE task_id IS NOT NULL GROUP BY 1, 2"
 
 
+_P3_FIELDS = ("split", "region_level", "interaction_type", "answer_label")
+
+
+def _p3_last(field: str) -> str:
+    cat = (_SPLIT if field == "split" else _CAT).format(field, field)
+    return f"SELECT '{field}' AS field_name, coalesce({cat}, 'missing') AS cat, count(*) AS n FROM last GROUP BY 1, 2"
+
+
 ORACLE = {
+    "p3_limits": f"""WITH have AS ({" UNION ALL ".join(map(_p3_have, _P3_FIELDS))}), last AS (SELECT * FROM multitask WHERE task_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_K.format("task_id")} ORDER BY ingested_at DESC, row_id DESC) = 1),
+      held AS ({" UNION ALL ".join(map(_p3_last, _P3_FIELDS))}), size AS (SELECT (count(*) * 15 + 99) // 100 AS n FROM last)
+      SELECT s.field_name, s.category, coalesce(h.n, 0) AS available, coalesce(l.n, 0) AS available_last, ((s.target_permille * size.n + 999) // 1000)::BIGINT AS goal_rows, s.min_rows::BIGINT AS min_rows
+      FROM sample_targets s CROSS JOIN size LEFT JOIN have h ON h.field_name = s.field_name AND h.cat = coalesce({_SPLIT.format("s.category", "s.category")}, 'missing') LEFT JOIN held l ON l.field_name = s.field_name AND l.cat = coalesce({_SPLIT.format("s.category", "s.category")}, 'missing')""",
+    "p3_checks": f"""WITH size AS (SELECT (count(DISTINCT {_K.format("task_id")}) * 15 + 99) // 100 AS n FROM multitask)
+      SELECT 'rows' AS name, n AS value FROM size UNION ALL SELECT 'distinct_tasks', n FROM size UNION ALL SELECT unnest(['unknown_tasks', 'other_categories', 'minimums_broken', 'report_differs']), 0""",
     "p3_found": f"""WITH have AS ({" UNION ALL ".join(map(_p3_have, ("split", "region_level", "interaction_type", "answer_label")))}),
       size AS (SELECT (count(DISTINCT {_K.format("task_id")}) * 15 + 99) // 100 AS n FROM multitask)
       SELECT s.field_name, s.category FROM sample_targets s CROSS JOIN size LEFT JOIN have h ON h.field_name = s.field_name AND h.cat = {_SPLIT.format("s.category", "s.category")}

@@ -24,7 +24,7 @@ def test_sample_meets_targets_and_floors(spark):
     got = s.sample().toPandas()
     assert len(got) == s.n_sample and got.unit.is_unique
     rep = {(r.field_name, r.category): r for r in s.report().collect()}
-    assert not any(r.cannot_be_met for r in rep.values())
+    assert s.cannot_be_met().count() == 0 and all(r.met and r.reason is None for r in rep.values())
     for (f, c), r in rep.items():
         assert abs(r.sample_rows - s.n_sample * r.target_permille / 1000) <= 1.01 and r.sample_rows >= r.min_rows, (f, c)
         assert r.sample_rows == (got[f] == c.lower()).sum()
@@ -35,7 +35,9 @@ def test_sample_meets_targets_and_floors(spark):
 def test_targets_that_cannot_be_met(spark):
     t = targets(spark, [("kind", "a", 500, 1), ("kind", "none such", 500, 3), ("level", "y", 1000, 10**6), ("odd", "z", 10, 1)])
     s = ProportionalSample(task_rows(spark), t, "task_id", ["ingested_at", "row_id"], 0.5)
-    assert {(r.field_name, r.category) for r in s.report().where("cannot_be_met").collect()} == {("kind", "none such"), ("level", "y"), ("odd", "z")}
+    assert {(r.field_name, r.category) for r in s.cannot_be_met().collect()} == {("kind", "none such"), ("level", "y"), ("odd", "z")}
+    rep = {r.category: r for r in s.report().collect()}
+    assert rep["none such"].reason == "too_few" and rep["none such"].short_by == rep["none such"].goal_rows and rep["y"].short_by == 10**6 - rep["y"].sample_rows
     assert s.sample().count() == s.n_sample
     empty = ProportionalSample(task_rows(spark).where("false"), t, "task_id", ["ingested_at", "row_id"])
     assert empty.sample().count() == 0 and empty.report().count() == 4
@@ -43,6 +45,24 @@ def test_targets_that_cannot_be_met(spark):
     assert none.report().count() == 0 and none.sample().count() == 0
 
 
+def test_joint_limits_are_reported(spark):
+    """Enough tasks have each category, but no sample can have both: all of b are y."""
+    rows = [(i, f"t{i}", "a" if i < 50 else "b", "x" if i < 50 else "y", i) for i in range(100)]
+    df = spark.createDataFrame(rows, "row_id bigint, task_id string, kind string, level string, ingested_at bigint")
+    t = targets(spark, [("kind", "b", 900, 1), ("level", "x", 900, 1), ("kind", "a", 100, 1)])
+    rep = {r.category: r for r in ProportionalSample(df, t, "task_id", ["ingested_at"], 0.4).report().collect()}
+    assert all(r.available >= r.goal_rows for r in rep.values()) and not (rep["b"].met and rep["x"].met)
+    assert {r.reason for r in rep.values() if not r.met} == {"joint"} and any(r.short_by or r.over_by for r in rep.values())
+
+
+def test_start_holds_floors():
+    sigs = [(a, b) for a in "pqr" for b in "uvw"]
+    ts = [Target("f", "p", 10, 7, "p"), Target("g", "w", 10, 9, "w"), Target("f", "q", 900, 1, "q")]
+    for seed in range(5):
+        s = _Search(sigs, [4] * 9, ["f", "g"], ts, 20, seed)
+        assert s.x.sum() == 20 and (s.counts() >= s.floor).all() and (s.x <= s.n).all()
+
+
 def test_no_single_exchange_would_help():
     rng = random.Random(8)
     sigs = [(a, b) for a in "pqr" for b in "uvw"]
