@@ -20,6 +20,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _tables(spark, d).links()
 
 
+def p1_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The root table: one row per record with how many children of each kind it has."""
+    c = F.col("child")
+    per = _tables(spark, d).links().groupBy("row_id").agg(*[F.count(F.when(c == k, 1)).alias(f"n_{k}") for k in ("image", "target", "output")])
+    root = table(spark, d, "multitask").select("row_id", "task_id", "split", "task_type")
+    return root.join(per, "row_id", "left").na.fill(0, ["n_image", "n_target", "n_output"])
+
+
 def p1_images(spark: SparkSession, d: str) -> DataFrame:
     t = _tables(spark, d).table("image")
     return t.select("row_id", "pk", "parent_pk", "pos", "image", F.get("image_size", F.lit(0)).alias("width"), F.get("image_size", F.lit(1)).alias("height"), "view")
@@ -27,7 +35,7 @@ def p1_images(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_targets(spark: SparkSession, d: str) -> DataFrame:
     t = _tables(spark, d).table("target")
-    return t.select("row_id", "pk", "parent_pk", "pos", "view", F.size("bbox").cast("bigint").alias("n_coords"), *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+    return t.select("row_id", "pk", "parent_pk", "pos", "view", F.size("bbox").cast("bigint").alias("n_coords"), F.array_join(F.transform("bbox", lambda v: F.coalesce(v.cast("string"), F.lit("null"))), ",").alias("bbox"))
 
 
 def p1_outputs(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +71,7 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return reference_graph(spark, d).report()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_images, p1_targets, p1_outputs, p2_found, p2_inherited, p2_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p1_images, p1_targets, p1_outputs, p2_found, p2_inherited, p2_report)}
 
 
 def _elements(field: str, fields: str) -> str:
@@ -87,13 +95,15 @@ _DIRECT = f"""
     UNION ALL SELECT 'paired_evidence', {_K.format("evidence_id")}, min(ingested_at), min(deleted_at) FROM paired_evidence GROUP BY 1, 2),
   direct AS (SELECT refs.*, CASE WHEN first_at IS NULL THEN 'missing' WHEN came < first_at THEN 'late' ELSE 'deleted' END AS cause, 0 AS depth FROM refs LEFT JOIN hist USING (parent, ref_key)
     WHERE ref_key IS NOT NULL AND (first_at IS NULL OR came < first_at OR came >= gone_at)),
-  inherited AS (SELECT refs.*, 'inherited' AS cause, 1 AS depth FROM refs WHERE (parent, ref_key) IN (SELECT tbl, own_key FROM direct WHERE own_key IS NOT NULL)
-    AND (tbl, row_id, parent, ref_key) NOT IN (SELECT tbl, row_id, parent, ref_key FROM direct))"""
+  inherited AS (SELECT refs.*, 'inherited' AS cause, 1 AS depth FROM refs SEMI JOIN (SELECT DISTINCT tbl, own_key FROM direct WHERE own_key IS NOT NULL) o ON refs.parent = o.tbl AND refs.ref_key = o.own_key
+    ANTI JOIN direct x ON x.tbl = refs.tbl AND x.row_id = refs.row_id AND x.parent = refs.parent AND x.ref_key = refs.ref_key)"""
 
 ORACLE = {
     "p1_found": f"SELECT row_id, 'image' AS child, pos::INT AS pos FROM ({_IMAGES}) UNION ALL SELECT row_id, 'target', pos::INT FROM ({_TARGETS}) UNION ALL SELECT row_id, 'output', pos::INT FROM ({_OUTPUTS})",
+    "p1_rows": f"""WITH c AS (SELECT row_id, 'image' AS child FROM ({_IMAGES}) UNION ALL SELECT row_id, 'target' FROM ({_TARGETS}) UNION ALL SELECT row_id, 'output' FROM ({_OUTPUTS}))
+      SELECT m.row_id, task_id, split, task_type, count(child) FILTER (child = 'image') AS n_image, count(child) FILTER (child = 'target') AS n_target, count(child) FILTER (child = 'output') AS n_output FROM multitask m LEFT JOIN c USING (row_id) GROUP BY ALL""",
     "p1_images": f"SELECT {_KEYS.format('image')}, x.image AS image, x.image_size[1] AS width, x.image_size[2] AS height, x.view AS view FROM ({_IMAGES})",
-    "p1_targets": f"SELECT {_KEYS.format('target')}, x.view AS view, len(x.bbox) AS n_coords, x.bbox[1] AS x1, x.bbox[2] AS y1, x.bbox[3] AS x2, x.bbox[4] AS y2 FROM ({_TARGETS})",
+    "p1_targets": f"SELECT {_KEYS.format('target')}, x.view AS view, len(x.bbox) AS n_coords, array_to_string(list_transform(x.bbox, lambda v: coalesce(v::VARCHAR, 'null')), ',') AS bbox FROM ({_TARGETS})",
     "p1_outputs": f"SELECT {_KEYS.format('output')}, member FROM ({_OUTPUTS})",
     "p2_found": f"WITH {_DIRECT} SELECT tbl, row_id, ref_key FROM direct",
     "p2_inherited": f"WITH {_DIRECT} SELECT tbl, row_id, ref_key, depth::BIGINT AS depth FROM inherited",
