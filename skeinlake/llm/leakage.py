@@ -1,93 +1,129 @@
 """Evaluation texts inside training text, by a distributed positional inverted index.
 
-Training documents are cut into words once (folded to one look, without case) and stored as postings (term, doc, place) of
-the terms that occur in any test item; a term no item has cannot take part in a match. Of every window of consecutive item
-words the rarest term (by its number of postings in the whole corpus) gives the first list; the list of the next rarest is
-intersected with it at the adjusted offset; what is left is held against all words of the item, and runs of matching words
-are measured. Proximity matches are documents in which several of the item's rarest terms stand close to each other.
+Training documents are cut into words once (folded to one look, without case) and written as an index partitioned by
+document: a row holds a document's words in order of their places, so the posting list of any term in it is read off the
+row. Of every window of consecutive item words the rarest terms (by the number of their postings in the whole corpus) are
+searched first: the postings of the rarest one are taken from the index, the lists of the next rarest are intersected with
+them at the adjusted offsets, rarest first, and what is left is held against all words of the window. All of that happens
+inside the row of a document; only matched windows leave their task. Matched windows of one shift that overlap make a
+run. Proximity matches are documents in which several of the item's rare terms stand close to each other.
 
 Defined results
-- null or empty text, text without words, items shorter than the run: no match; repeated documents each match
-- null ids of documents or items: no match row; very long texts are processed whole
+- null or empty text, text without words, items shorter than the run: no match; null ids of documents or items: no match row
+- repeated rows of a document or an item count once; rows that share an id but not the text match each by itself, the
+  longest run counts, matched words are the union; very long texts are processed whole
 - a run that occurs several times: the longest counts; matched words are counted once per item word
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import clean_split
-from ..operators.skew import hot_split_join
+from ..operators.skew import hot_keys, salted_pairs
 from ..session import Workspace
 from .looks import words
 
-#: Item-side tables up to this many rows are sent to every executor; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Windows of items are sent to every executor up to this many; more are joined by shuffle, with the same result.
+BROADCAST_WINDOWS = 100_000
+#: Lists intersected at their offsets before a window is compared as a whole.
+LISTS = 4
 
 
 class PositionalIndex:
-    """Postings of the corpus for the terms of the test items, and the searches over them."""
-
-    def __init__(self, docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text"):
-        self.work = Workspace(docs.sparkSession, "index")
-        said = items.where(F.col(item).isNotNull()).select(F.col(item).alias("item_id"), F.posexplode(words(F.col(item_text))).alias("i", "term"))
-        self.items = self.work.save(said, "items")
-        self.n_item_words = self.items.count()
+    """The index of a corpus and the searches of test items in it."""
+
+    def __init__(self, docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text", broadcast_windows: int = BROADCAST_WINDOWS):
+        self.work, self.broadcast_windows = Workspace(docs.sparkSession, "index"), broadcast_windows
+        said = items.where(F.col(item).isNotNull()).select(F.col(item).alias("item_id"), words(F.col(item_text)).alias("ws")).where(F.size("ws") > 0).distinct()
+        self.items = self.work.save(said.withColumn("copy", F.xxhash64(F.array_join("ws", " "))).select("item_id", "copy", F.posexplode("ws").alias("i", "term")), "items")
+        forward = docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc_id"), words(F.col(text)).alias("words")).where(F.size("words") > 0)
+        self.forward = self.work.save(forward, "forward")
         vocabulary = self.items.select("term").distinct()
-        placed = docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc_id"), F.posexplode(words(F.col(text))).alias("place", "term"))
-        kept = placed.join(F.broadcast(vocabulary), "term", "left_semi") if self.n_item_words <= BROADCAST_ROWS else hot_split_join(placed, vocabulary, "term", "left_semi")
-        self.postings = self.work.save(kept.select("term", "doc_id", "place").sortWithinPartitions("term"), "postings")
-        frequency = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        self.terms = self.work.save(self.items.join(frequency, "term", "left").select("item_id", "i", "term", F.coalesce("df", F.lit(0)).alias("df")), "terms")
-
-    def _small(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.n_item_words <= BROADCAST_ROWS else df
-
-    def anchors(self, run: int) -> DataFrame:
-        """Of every window of ``run`` item words that the corpus can hold: places and terms of its two rarest words."""
-        w = Window.partitionBy("item_id").orderBy("i").rowsBetween(0, run - 1)
-        window = F.collect_list(F.struct("df", "i", "term")).over(w)
-        by = self.terms.select("item_id", window.alias("ws")).where(F.size("ws") == run).withColumn("ws", F.array_sort("ws"))
-        at = lambda k: F.get("ws", F.lit(k))
-        pick = by.where(at(0)["df"] > 0).select("item_id", *[at(k)[f].alias(f"{f}{k}") for k in (0, 1) for f in ("i", "term")])
-        return pick.distinct()
+        counts = self.forward.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        self.frequency = self.work.save(counts.join(vocabulary, "term", "left_semi"), "frequency")
+        self.terms = self.work.save(self.items.join(self.frequency, "term", "left").select("item_id", "copy", "i", "term", F.coalesce("df", F.lit(0)).alias("df")), "terms")
+
+    def windows(self, run: int) -> DataFrame:
+        """Every window of ``run`` item words that the corpus can hold: its first place, its words, and of its rarest words
+        (ties by place) their places in it: ``at0`` the rarest (of the ``LISTS`` first), ``term`` the rarest word itself."""
+        w = Window.partitionBy("item_id", "copy").orderBy("i").rowsBetween(0, run - 1)
+        ws = self.terms.select("item_id", "i", F.collect_list(F.struct("df", "i", "term")).over(w).alias("w")).where(F.size("w") == run)
+        order = ws.withColumn("r", F.array_sort("w")).where(F.get("r", F.lit(0))["df"] > 0)
+        k = min(LISTS, run)
+        out = order.select("item_id", "i", F.get("r", F.lit(0))["term"].alias("term"), F.transform("w", lambda x: x["term"]).alias("wanted"), *[(F.get("r", F.lit(j))["i"] - F.col("i")).alias(f"at{j}") for j in range(k)])
+        return self.work.save(out.distinct(), f"windows{run}")
+
+    def _matches(self, run: int) -> DataFrame:
+        """doc_id, version, item_id, start (place of the window in the item), shift: windows that a document holds."""
+        windows = self.windows(run)
+        k = min(LISTS, run)
+        version = F.xxhash64("words").alias("version")
+        if windows.count() <= self.broadcast_windows:
+            placed = self.forward.select("doc_id", "words", F.posexplode("words").alias("place", "term"))
+            hit = placed.join(F.broadcast(windows), "term")
+            word, first = lambda at: F.get("words", at), F.col("place") - F.col("at0")
+            whole = F.slice("words", first + 1, F.lit(run)) == F.col("wanted")
+        else:
+            # each posting of a rarest term carries the words around it, so the join needs no document
+            rare = windows.select("term").distinct()
+            near = lambda x, p: F.transform(F.sequence(p - (run - 1), p + (run - 1)), lambda q: F.when(q >= 0, F.get(x, q)))
+            placed = self.forward.select("doc_id", version, "words", F.posexplode("words").alias("place", "term")).join(rare, "term", "left_semi")
+            postings = self.work.save(placed.select("doc_id", "version", "place", "term", near(F.col("words"), F.col("place")).alias("near")), f"postings{run}")
+            hit = _split_pairs(postings, windows, "term")
+            word, first = lambda at: F.get("near", F.lit(run - 1) + at - F.col("place")), F.col("place") - F.col("at0")
+            whole = F.slice("near", F.lit(run) - F.col("at0"), F.lit(run)) == F.col("wanted")
+        on: Column = first >= 0
+        for j in range(1, k):  # the lists of the next rarest words, at their offsets
+            on = on & word(first + F.col(f"at{j}")).eqNullSafe(F.get("wanted", F.col(f"at{j}")))
+        found = hit.where(on).where(whole)
+        return found.select("doc_id", version if "words" in found.columns else "version", "item_id", F.col("i").alias("start"), (first - F.col("i")).alias("shift")).distinct()
 
     def phrases(self, run: int = 12) -> DataFrame:
         """doc_id, item_id, longest run, item words matched in runs of at least ``run``."""
-        anchors = self.anchors(run)
-        first = self.postings.join(self._small(anchors), F.col("term") == F.col("term0")).select("doc_id", "item_id", (F.col("place") - F.col("i0")).alias("shift"), "i1", "term1")
-        first = first.where(F.col("shift") + F.col("i1") >= 0).distinct()
-        second = self.postings.join(self._small(anchors.select(F.col("term1").alias("term")).distinct()), "term", "left_semi")
-        both = first.join(second, (F.col("term1") == second["term"]) & (first["doc_id"] == second["doc_id"]) & (F.col("shift") + F.col("i1") == F.col("place")))
-        held = self.work.save(both.select(first["doc_id"], "item_id", "shift").distinct(), f"held{run}")
-        wanted = held.join(self._small(self.terms.select("item_id", "i", "term")), "item_id").select("doc_id", "item_id", "shift", "i", "term", (F.col("shift") + F.col("i")).alias("place"))
-        near = self.postings.join(held.select("doc_id").distinct(), "doc_id", "left_semi")
-        hits = wanted.join(near, ["doc_id", "place", "term"])
-        island = F.col("i") - F.row_number().over(Window.partitionBy("doc_id", "item_id", "shift").orderBy("i"))
-        runs = hits.withColumn("island", island).groupBy("doc_id", "item_id", "shift", "island").agg(F.count("*").alias("n"), F.min("i").alias("start")).where(F.col("n") >= run)
-        covered = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), (F.col("start") + F.col("n") - 1).cast("int")))))
-        return runs.groupBy("doc_id", "item_id").agg(F.max("n").alias("longest"), F.size(covered).cast("bigint").alias("matched"))
-
-    def proximity(self, rarest: int = 6, least: int = 4, span: int = 40) -> DataFrame:
-        """doc_id, item_id, near_terms: at least ``least`` of the item's ``rarest`` terms within ``span`` words, in any order.
-
-        Places fall into half-overlapping stretches of 2 * ``span`` words, so a window of ``span`` lies whole in one of them;
-        the exact windows are measured there.
+        found = self._matches(run)
+        by_shift = found.groupBy("doc_id", "version", "item_id", "shift").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+        # a run goes on while the next window starts one word later
+        step = F.aggregate(
+            "starts", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best")),
+            lambda a, s: F.struct(s.alias("last"), F.when(s == a["last"] + 1, a["now"] + 1).otherwise(1).alias("now"), F.greatest(a["best"], F.when(s == a["last"] + 1, a["now"] + 1).otherwise(1)).alias("best")),
+        )["best"]
+        covered = F.array_distinct(F.flatten(F.transform("all", lambda s: F.sequence(s, s + (run - 1)))))
+        out = by_shift.select("doc_id", "item_id", (step + (run - 1)).cast("bigint").alias("longest"), "starts").groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"), F.array_distinct(F.flatten(F.collect_set("starts"))).alias("all"))
+        return out.select("doc_id", "item_id", "longest", F.size(covered).cast("bigint").alias("matched"))
+
+    def proximity(self, rare_permille: int = 10, least: int = 4, span: int = 40) -> DataFrame:
+        """doc_id, item_id, near_terms: at least ``least`` of the item's rare terms within ``span`` words, in any order.
+
+        Rare are all terms of an item with at most ``rare_permille`` postings to 1,000 documents. Places fall into
+        half-overlapping stretches of 2 * ``span`` words, so a window of ``span`` lies whole in one of them.
         """
-        distinct = self.terms.where("df > 0").groupBy("item_id", "term").agg(F.min("df").alias("df"))
-        rank = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "term"))
-        rare = distinct.withColumn("r", rank).where(F.col("r") <= rarest).select("item_id", "term")
-        hits = self.postings.join(self._small(rare), "term").select("doc_id", "item_id", "term", "place")
+        limit = self.forward.count() * rare_permille / 1000
+        rare = self.terms.where((F.col("df") > 0) & (F.col("df") <= max(limit, 1))).select("item_id", "term").distinct()
+        wanted = rare.select("term").distinct()
+        # few words are rare terms, so the lists are small before they meet the items
+        lists = self.forward.select("doc_id", F.posexplode("words").alias("place", "term")).join(wanted, "term", "left_semi")
+        lists = self.work.save(lists.distinct(), "rare_lists")
+        hits = _split_pairs(lists, rare, "term").select("doc_id", "item_id", "term", "place")
         part = F.floor(F.col("place") / span)
         parts = hits.withColumn("part", F.explode(F.array(part, part - 1)))
         enough = parts.groupBy("doc_id", "item_id", "part").agg(F.count_distinct("term").alias("t")).where(F.col("t") >= least)
-        w = Window.partitionBy("doc_id", "item_id", "part").orderBy("place").rangeBetween(0, span - 1)
+        w = Window.partitionBy("doc_id", "item_id", "part").orderBy("place").rangeBetween(-(span - 1), 0)
         inside = parts.join(enough.drop("t"), ["doc_id", "item_id", "part"]).withColumn("near", F.size(F.collect_set("term").over(w)))
         return inside.groupBy("doc_id", "item_id").agg(F.max("near").cast("bigint").alias("near_terms")).where(F.col("near_terms") >= least)
 
     def lengths(self) -> DataFrame:
-        return self.items.groupBy("item_id").agg(F.count("*").alias("item_words"))
+        return self.items.groupBy("item_id", "copy").agg(F.count("*").alias("n")).groupBy("item_id").agg(F.max("n").alias("item_words"))
+
+
+def _split_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """All pairs of equal key; the few hot keys of the left side are salted, all others shuffled once."""
+    hot = hot_keys(left, key)
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.col(key).isin(hot)
+    return left.where(~is_hot).join(right.where(~is_hot), key).unionByName(salted_pairs(left.where(is_hot), right.where(is_hot), key))
 
 
 def held_out(items: DataFrame) -> DataFrame:
@@ -103,9 +139,9 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
 def leak_report(docs: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
     """Per held-out item: documents with a phrase of it, wholly or partly, and documents with its rare terms close together."""
     index = PositionalIndex(docs.select("doc_id", "text"), held_out(items))
-    phrase = index.phrases(run).join(index.lengths(), "item_id")
+    phrase = index.work.save(index.phrases(run).join(index.lengths(), "item_id"), "phrases")
     near = index.proximity().join(phrase.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
     found = phrase.groupBy("item_id").agg(F.count("*").alias("phrase_docs"), F.sum((F.col("matched") == F.col("item_words")).cast("long")).alias("whole_docs"), F.max("longest").alias("longest"))
     close = near.groupBy("item_id").agg(F.count("*").alias("proximity_docs"))
-    every = held_out(items).select("item_id", clean_split("split").alias("split"), "lang")
+    every = held_out(items).where("item_id is not null").groupBy("item_id").agg(F.min(clean_split("split")).alias("split"), F.min("lang").alias("lang"))
     return every.join(found, "item_id", "left").join(close, "item_id", "left").na.fill(0, ["phrase_docs", "whole_docs", "longest", "proximity_docs"])
