@@ -1,11 +1,13 @@
 """One consistent form of texts that look the same but are stored with different characters.
 
-Tokens (stretches without blanks) of all documents are counted. Those that hold a look-alike, an ignorable or a sign that
-composes are matched against tries of the well-formed vocabulary by a weighted edit automaton in which look-alikes and
-ignorables cost nothing; the canonical spelling is the matched one: the spelling the table folds to if the vocabulary has
-it, else the most frequent well-formed one (a word written wholly in one script keeps it). Tokens that match nothing take
-the form of the table. All spellings of one look share a trie (they are sharded by the hash of their look), so a trie
-never grows with the corpus beyond its shard and every spelling sees the same choices: equal looks get equal forms.
+Tokens (stretches without blanks) that hold a look-alike, an ignorable or a sign that composes are counted over all
+documents, and with them the plain tokens that have one of their looks; no other token can be their canonical spelling. They
+are matched against tries of the well-formed ones by a weighted edit automaton in which look-alikes and ignorables cost
+nothing and every other edit costs more than the budget, which is 0 where only equal looks may meet. The canonical spelling
+is the matched one: the spelling the table folds to if the vocabulary has it, else the most frequent well-formed one (a word
+written wholly in one script keeps it). Tokens that match nothing take the form of the table. All spellings of one look
+share a trie (they are sharded by the hash of their look, into shards of a given number of tokens, so a trie does not grow
+with the corpus) and see the same choices: equal looks get equal forms.
 
 Defined results
 - null text: null form; empty text: empty form; a text that is nothing but ignorables: an empty form
@@ -16,7 +18,7 @@ Defined results
 from __future__ import annotations
 
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,68 +26,67 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import hot_split_join, salted_pairs
 from ..session import Workspace
-from .looks import BLANKS, IGNORABLE, alike, fold, fold_text, look_table, script, suspect
+from .looks import BLANKS, _bases, alike, fold, fold_text, plain_signs, script, suspect
 
-#: Looks longer than this take the table's form; a trie of such strings would hold little but single branches.
-LONGEST = 256
+#: Tokens with odd signs to a shard, and so to a trie.
+SHARD_TOKENS = 2_000
 _TOKEN = f"[^\\s{BLANKS}]+"
-_END = chr(0x10FFFF)
 
 
 class Trie:
-    """A trie kept as a sorted word list: a node is the interval of words that share a prefix."""
+    """A trie kept as a sorted list of decomposed words: a node is the interval of words that share their first signs."""
 
     def __init__(self, counts: dict[str, int]):
-        self.words, self.counts = sorted(counts), counts
+        named = sorted((unicodedata.normalize("NFD", w), w) for w in counts)
+        self.keys, self.words, self.counts = [k for k, _ in named], [w for _, w in named], counts
 
-    def children(self, lo: int, hi: int, prefix: str) -> tuple[int, int]:
-        return bisect_left(self.words, prefix, lo, hi), bisect_left(self.words, prefix + _END, lo, hi)
+    def child(self, lo: int, hi: int, depth: int, sign: str) -> tuple[int, int]:
+        """The part of a node whose words go on with ``sign`` at ``depth``."""
+        at = lambda k: k[depth : depth + 1]
+        return bisect_left(self.keys, sign, lo, hi, key=at), bisect_right(self.keys, sign, lo, hi, key=at)
 
     def search(self, token: str, budget: int = 0, substitute: int = 1, skip: int = 1) -> dict[str, int]:
         """Words within ``budget`` of the token, with their cost. Look-alikes and ignorables are free."""
-        same, free = alike(), set(IGNORABLE)
-        token = unicodedata.normalize("NFC", token)
-        states = {"": (0, len(self.words), 0)}
-        for c in token:
-            after: dict[str, tuple[int, int, int]] = {}
-
-            def reach(prefix: str, lo: int, hi: int, cost: int, after: dict = after) -> None:
-                if lo < hi and cost <= budget and cost <= after.get(prefix, (0, 0, budget))[2]:
-                    after[prefix] = (lo, hi, cost)
-
-            for prefix, (lo, hi, cost) in states.items():
-                if c in free:
-                    reach(prefix, lo, hi, cost)
-                    continue
-                near = same.get(c, c)
-                for a in near:
-                    reach(prefix + a, *self.children(lo, hi, prefix + a), cost)
+        same = alike()
+        states = {(0, len(self.keys), 0): 0}
+        for c in plain_signs(token):
+            near, after = same.get(c, c), {}
+
+            def reach(lo: int, hi: int, depth: int, cost: int, after: dict = after) -> None:
+                if lo < hi and cost <= min(budget, after.get((lo, hi, depth), budget)):
+                    after[lo, hi, depth] = cost
+
+            for (lo, hi, depth), cost in states.items():
+                if hi - lo == 1:  # a single word left: no search for its next sign
+                    if self.keys[lo][depth : depth + 1] in near and len(self.keys[lo]) > depth:
+                        reach(lo, hi, depth + 1, cost)
+                else:
+                    for a in near:
+                        reach(*self.child(lo, hi, depth, a), depth + 1, cost)
                 if cost + skip <= budget:
-                    reach(prefix, lo, hi, cost + skip)
+                    reach(lo, hi, depth, cost + skip)
                 if cost + substitute <= budget:
                     at = lo
                     while at < hi:
-                        if len(self.words[at]) > len(prefix):
-                            a = self.words[at][len(prefix)]
-                            start, at = self.children(at, hi, prefix + a)
-                            if a not in near:
-                                reach(prefix + a, start, at, cost + substitute)
-                        else:
-                            at += 1
+                        a = self.keys[at][depth : depth + 1]
+                        start, end = self.child(at, hi, depth, a)
+                        if a and a not in near:
+                            reach(start, end, depth + 1, cost + substitute)
+                        at = max(end, at + 1)
             states = after
-        return {p: cost for p, (lo, hi, cost) in states.items() if lo < hi and self.words[lo] == p}
+        return {self.words[lo]: cost for (lo, hi, depth), cost in states.items() if lo < hi and len(self.keys[lo]) == depth}
 
 
 def well_formed(token: str) -> bool:
     """Fit to be a canonical spelling: composed, no ignorables, no width or font forms, letters of one script."""
-    table = look_table()
+    table = _bases()
     return token == unicodedata.normalize("NFC", token) and script(token) != "mixed" and all(table.get(c, c) == c or unicodedata.name(c, "").startswith(("CYRILLIC ", "GREEK ")) for c in token)
 
 
 def canonical(token: str, trie: Trie) -> tuple[str, bool]:
     """The spelling chosen for a token, and whether the vocabulary had one."""
     look = fold(token)
-    found = trie.search(token) if len(look) <= LONGEST else {}
+    found = trie.search(token)
     if not found or look in found:
         return look, bool(found)
     return min(found, key=lambda w: (-trie.counts[w], w)), True
@@ -99,14 +100,18 @@ def _match(clean: pd.DataFrame, dirty: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["token", "form", "matched"])
 
 
-def spellings(docs: DataFrame, text: str = "text", shards: int = 64) -> DataFrame:
+def spellings(docs: DataFrame, text: str = "text", per_shard: int = SHARD_TOKENS) -> DataFrame:
     """Of every token that may have to change: ``token``, ``form``, ``matched``. Counts come from all documents."""
-    tokens = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(_TOKEN), F.lit(0))).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    counts = Workspace(docs.sparkSession, "tokens").save(counts.withColumn("dirty", suspect(F.col("token"))), "counts")
+    work, t = Workspace(docs.sparkSession, "tokens"), F.col(text)
+    odd = F.explode(F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0)))
+    dirty = docs.where(suspect(t)).select(odd.alias("token")).where(suspect(F.col("token"))).groupBy("token").agg(F.count("*").alias("n"))
+    dirty = work.save(dirty.withColumn("look", fold_text(F.col("token"))), "dirty")
+    shards = -(-dirty.count() // per_shard) or 1
+    # a text without odd signs has ASCII blanks only, which one quick split finds
+    plain = F.when(suspect(t), F.filter(F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0)), lambda x: ~suspect(x))).otherwise(F.split(t, r"\s+"))
+    clean = docs.select(F.explode(plain).alias("look")).where("look <> ''").groupBy("look").agg(F.count("*").alias("n"))
+    clean = clean.join(dirty.select("look").distinct(), "look", "left_semi").select("look", F.col("look").alias("token"), "n")
     shard = F.pmod(F.xxhash64("look"), F.lit(shards)).cast("int").alias("shard")
-    clean = counts.where("not dirty").withColumn("look", F.col("token"))
-    dirty = counts.where("dirty").withColumn("look", fold_text(F.col("token")))
     return (
         clean.select(shard, "token", "n").groupBy("shard").cogroup(dirty.select(shard, "token", "n").groupBy("shard"))
         .applyInPandas(_match, "token string, form string, matched boolean")
@@ -151,6 +156,3 @@ def look_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     formed = normalize_looks(docs.select(key, text), text).withColumn("look", F.md5("form"))
     size = formed.where(F.col(text) != "").groupBy("look").agg(F.min(key).alias("class_id"), F.countDistinct(text).alias("spellings"), F.count("*").alias("members"))
     return formed.join(size, "look", "left").select(key, "form", "class_id", "spellings", "members")
-
-
-

@@ -35,6 +35,21 @@ def test_trie_with_costs():
     assert trie.search("hоu​sе") == {"house": 0}  # Cyrillic o and e, a zero-width space
     assert trie.search("hause") == {} and trie.search("hause", budget=1) == {"house": 1}
     assert trie.search("hhouse", budget=1) == {"house": 1} and trie.search("", budget=0) == {}
+    more = lookalike.Trie({"ä": 1, "Märö": 2, "fine": 1, "x" * 20000: 1})
+    assert more.search("\u04d3") == {"ä": 0} and more.search("М\u200bа\u0308r\u04e7") == {"Märö": 0} and more.search("ﬁne") == {"fine": 0}
+    assert more.search("x" * 9999 + "\u00ad" + "х" * 10001) == {"x" * 20000: 0}  # no length is left out
+
+
+def test_marks_do_not_hide_letters():
+    for odd, plain in (("\u04d3", "ä"), ("а\u0308", "ä"), ("\u0451", "ë"), ("\u03cc", "ó"), ("ﬂa", "fla"), ("a\U000e0041b\U000e0100", "ab"), ("\u04e7\u0300", "ö\u0300")):
+        assert looks.fold(odd) == unicodedata.normalize("NFC", plain), odd
+
+
+def test_shards_follow_the_tokens(spark):
+    texts = [f"w{i}\u200b w{i}" for i in range(300)] + ["мир", "cоp cop"]
+    one = {(r.token, r.form, r.matched) for r in lookalike.spellings(docs(spark, texts)).collect()}
+    many = {(r.token, r.form, r.matched) for r in lookalike.spellings(docs(spark, texts), per_shard=7).collect()}
+    assert one == many and ("w7\u200b", "w7", True) in one and ("мир", "мир", True) in one
 
 
 def test_same_looks(spark):
@@ -81,8 +96,12 @@ def test_leaks_equal_brute_force(spark):
     df = docs(spark, bodies)
     its = spark.createDataFrame([(j, t, "val" if j % 2 else " TEST ") for j, t in items] + [(50, items[0][1], "train"), (51, items[0][1], None)], "item_id bigint, item_text string, split string")
     for run in (4, 12):
-        got = {(r.doc_id, r.item_id) for r in leakage.leaks(df, its, run).collect()}
-        assert got == brute_runs(list(enumerate(bodies, 1)), items, run), run
+        got = {(r.doc_id, r.item_id): (r.longest, r.matched) for r in leakage.leaks(df, its, run).collect()}
+        assert set(got) == brute_runs(list(enumerate(bodies, 1)), items, run), run
+        twice = leakage.leaks(df.union(df), its.union(its), run)  # repeated rows change nothing
+        assert {(r.doc_id, r.item_id): (r.longest, r.matched) for r in twice.collect()} == got
+        index = leakage.PositionalIndex(df, leakage.held_out(its), broadcast_windows=0)  # the way without a broadcast
+        assert {(r.doc_id, r.item_id): (r.longest, r.matched) for r in index.phrases(run).collect()} == got
     assert leakage.leaks(docs(spark, []), its).count() == 0 and leakage.leaks(df, its.where("false")).count() == 0
 
 
@@ -92,8 +111,11 @@ def test_whole_and_part(spark):
     its = spark.createDataFrame([(1, item, "test")], "item_id bigint, item_text string, split string")
     got = {r.doc_id: (r.longest, r.matched, r.item_words) for r in leakage.leaks(df, its, 4).collect()}
     assert got == {1: (8, 8, 8), 2: (5, 5, 8)}
-    near = {r.doc_id for r in leakage.PositionalIndex(df, its).proximity(8, 4, 10).collect()}
+    near = {r.doc_id for r in leakage.PositionalIndex(df, its).proximity(1000, 4, 10).collect()}
     assert near == {1, 2, 3, 4}
+    other = df.where("doc_id = 2").withColumn("text", F.lit("five six seven eight"))  # one id, two texts: each by itself
+    got = {r.doc_id: (r.longest, r.matched) for r in leakage.leaks(df.union(other), its, 4).collect()}
+    assert got == {1: (8, 8), 2: (5, 7)}
 
 
 def test_token_counts_are_those_of_the_tokenizer(spark):
