@@ -8,7 +8,7 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import clean_key, clean_split, hash_bits
@@ -63,3 +63,16 @@ def split_conflicts(groups: DataFrame, stated: list[DataFrame], entity: str = "p
         said = s if said is None else said.unionByName(s)
     per = said.distinct().join(groups, entity).groupBy("component").agg(F.min("s").alias("first_split"), F.max("s").alias("last_split"), F.count_distinct("s").alias("n_splits"))
     return groups.join(per.where("n_splits > 1"), "component")
+
+
+def split_shares(assigned: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row per target split: its target, entities, components, the largest component and the permille of entities reached.
+
+    Components are never cut, so a large one moves its split's share by its size.
+    """
+    want = targets.select(clean_split("split").alias("split"), "target_permille").where("split is not null").groupBy("split").agg(F.sum("target_permille").cast("int").alias("target_permille"))
+    parts = assigned.where("new_split is not null").groupBy(F.col("new_split").alias("split"), "component").agg(F.count("*").alias("n"))
+    per = parts.groupBy("split").agg(F.sum("n").alias("entities"), F.count("*").alias("components"), F.max("n").alias("largest"))
+    all_ = F.sum("entities").over(Window.partitionBy())  # one row per target split
+    out = want.join(per, "split", "left").na.fill(0, ["entities", "components", "largest"])
+    return out.withColumn("reached_permille", F.round(F.try_divide(F.col("entities") * 1000.0, all_), 3))

@@ -9,7 +9,7 @@ from ..functions.keys import clean_split
 from ..session import Workspace
 from ..tables import table
 from .block_sample import Registry, block_sample, first_deliveries
-from .group_split import assign_splits, entity_groups, split_conflicts
+from .group_split import assign_splits, entity_groups, split_conflicts, split_shares
 from .overlap import cross_split_pairs, overlap_classes, overlap_report
 from .proportional import ProportionalSample
 
@@ -80,6 +80,11 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return assign_splits(_groups(spark, d), table(spark, d, "split_targets"))
 
 
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each split, by patients, with its components and the largest of them."""
+    return split_shares(p5_splits(spark, d), table(spark, d, "split_targets"))
+
+
 def _numbers(spark: SparkSession, d: str) -> DataFrame:
     """The numbers of a registry that saw the whole table at once; deliveries in order give the same ones."""
     registry = Registry(spark, Workspace(spark, "registry").path("numbers"))
@@ -94,7 +99,7 @@ def p6_registry(spark: SparkSession, d: str) -> DataFrame:
     return _numbers(spark, d).withColumnRenamed("unit", "task_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_sample, p3_limits, p3_checks, p4_found, p4_classes, p4_report, p5_found, p5_splits, p6_sample, p6_registry)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_sample, p3_limits, p3_checks, p4_found, p4_classes, p4_report, p5_found, p5_splits, p5_report, p6_sample, p6_registry)}
 
 _K = "lower(trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))"
 _CAT = r"nullif(regexp_replace(regexp_replace(lower({}), '^\s+|\s*\.?\s*$', '', 'g'), '[\s_-]+', '_', 'g'), '')"
@@ -102,6 +107,12 @@ _SPLIT = f"(CASE WHEN {_CAT} = 'valid' THEN 'val' ELSE {_CAT} END)"
 _DIGEST = r"(CASE WHEN regexp_full_match(regexp_replace(lower(trim({0}, ' ' || chr(9))), '^(0x|sha256:)', ''), '[0-9a-f]{{64}}') THEN regexp_replace(lower(trim({0}, ' ' || chr(9))), '^(0x|sha256:)', '') END)"
 _WORD = lambda c, k: f"('0x' || substr({c}, {1 + 16 * k}, 16))::UBIGINT"
 _APART = " + ".join(f"bit_count(xor({_WORD('a.h', k)}, {_WORD('b.h', k)}))::INT" for k in range(4))
+_P4_ROWS = f"""shown AS (SELECT path, bool_or(s = 'train') AS tr, bool_or(s IN ('val', 'test')) AS ev, bool_or(s = 'val') AS in_val, bool_or(s = 'test') AS in_test FROM (SELECT {_SPLIT.format("split", "split")} AS s, unnest(list_transform(images, lambda x: x.image)) AS path FROM multitask) WHERE s IS NOT NULL GROUP BY path),
+      r AS (SELECT rec_id, source, {_DIGEST.format("sha256")} AS sha, {_DIGEST.format("a_hash")} AS h, tr, ev, in_val, in_test FROM whole_records JOIN shown ON path = source_path WHERE file_bytes IS DISTINCT FROM 0)"""
+_P4_CLASSES = f"""{_P4_ROWS}, f AS (SELECT sha, count(*) AS n, min(rec_id) AS lo, max(rec_id) AS hi FROM r WHERE tr AND sha IS NOT NULL GROUP BY sha), a AS (SELECT h, count(*) AS n, min(rec_id) AS lo, max(rec_id) AS hi FROM r WHERE tr AND h IS NOT NULL GROUP BY h),
+      l AS (SELECT b.h, count(*) AS near_hashes, sum(a.n)::BIGINT AS near_records, min(a.lo) AS lo, max(a.hi) AS hi FROM a JOIN (SELECT DISTINCT h FROM r WHERE ev AND h IS NOT NULL) b ON {_APART} <= 12 GROUP BY b.h),
+      classes AS (SELECT * FROM (SELECT rec_id, source, in_val, in_test, coalesce(h, 'file:' || sha) AS class_id, coalesce(f.n, 0) - (tr AND sha IS NOT NULL)::INT AS same_file, coalesce(near_hashes, 0) AS near_hashes, coalesce(near_records, 0) - (tr AND h IS NOT NULL)::INT AS near_records,
+        coalesce(nullif(f.lo, rec_id), nullif(f.hi, rec_id), nullif(l.lo, rec_id), nullif(l.hi, rec_id)) AS train_rec FROM r LEFT JOIN f USING (sha) LEFT JOIN l USING (h) WHERE ev) WHERE same_file > 0 OR near_records > 0)"""
 _PATIENTS = " UNION ".join(f"SELECT {_K.format('patient_id')} AS p FROM {t} WHERE patient_id IS NOT NULL" for t in PATIENT_TABLES)
 _GROUPS = f"""patients AS ({_PATIENTS}),
   c AS (SELECT {_K.format("patient_id")} AS p, {_K.format("duplicate_of_patient_id")} AS q, {_K.format("duplicate_group_id")} AS g FROM canonical WHERE patient_id IS NOT NULL),
@@ -135,12 +146,16 @@ ORACLE = {
       size AS (SELECT (count(DISTINCT {_K.format("task_id")}) * 15 + 99) // 100 AS n FROM multitask)
       SELECT s.field_name, s.category FROM sample_targets s CROSS JOIN size LEFT JOIN have h ON h.field_name = s.field_name AND h.cat = {_SPLIT.format("s.category", "s.category")}
       WHERE coalesce(h.n, 0) < greatest((s.target_permille * size.n + 999) // 1000, s.min_rows)""",
-    "p4_found": f"""WITH shown AS (SELECT path, bool_or(s = 'train') AS tr, bool_or(s IN ('val', 'test')) AS ev FROM (SELECT {_SPLIT.format("split", "split")} AS s, unnest(list_transform(images, lambda x: x.image)) AS path FROM multitask) WHERE s IS NOT NULL GROUP BY path),
-      r AS (SELECT rec_id, {_DIGEST.format("sha256")} AS sha, {_DIGEST.format("a_hash")} AS h, tr, ev FROM whole_records JOIN shown ON path = source_path WHERE file_bytes IS DISTINCT FROM 0)
-      SELECT DISTINCT least(a.rec_id, b.rec_id) AS rec_a, greatest(a.rec_id, b.rec_id) AS rec_b FROM r a JOIN r b ON a.tr AND b.ev AND a.rec_id <> b.rec_id WHERE a.sha = b.sha OR (a.h IS NOT NULL AND b.h IS NOT NULL AND {_APART} <= 12)""",
+    "p4_found": f"""WITH {_P4_ROWS} SELECT DISTINCT least(a.rec_id, b.rec_id) AS rec_a, greatest(a.rec_id, b.rec_id) AS rec_b FROM r a JOIN r b ON a.tr AND b.ev AND a.rec_id <> b.rec_id WHERE a.sha = b.sha OR (a.h IS NOT NULL AND b.h IS NOT NULL AND {_APART} <= 12)""",
+    "p4_classes": f"""WITH {_P4_CLASSES} SELECT * FROM classes""",
+    "p4_report": f"""WITH {_P4_CLASSES} SELECT split, source, count(*) AS records, count(*) FILTER (same_file > 0) AS with_same_file, count(*) FILTER (near_records > 0) AS with_near_image
+      FROM (SELECT *, unnest(list_filter([CASE WHEN in_val THEN 'val' END, CASE WHEN in_test THEN 'test' END], lambda x: x IS NOT NULL)) AS split FROM classes) GROUP BY split, source""",
     "p5_found": f"""WITH RECURSIVE {_GROUPS},
       said AS (SELECT {_K.format("patient_id")} AS p, {_SPLIT.format("split", "split")} AS s FROM multitask UNION SELECT {_K.format("patient_id")}, {_SPLIT.format("split", "split")} FROM patient_splits)
       SELECT p AS patient_id FROM groups WHERE component IN (SELECT component FROM said JOIN groups USING (p) WHERE s IS NOT NULL GROUP BY component HAVING count(DISTINCT s) > 1)""",
+    "p5_report": f"""WITH RECURSIVE {_GROUPS}, ranges AS (SELECT {_SPLIT.format("split", "split")} AS s, sum(target_permille) OVER (ORDER BY {_SPLIT.format("split", "split")}) AS upto, target_permille AS p FROM split_targets),
+      g AS (SELECT component, s, count(*) AS n FROM groups JOIN ranges r ON ('0x' || substr(sha256('group-split:' || component), 1, 15))::BIGINT % (SELECT sum(target_permille) FROM split_targets) BETWEEN r.upto - r.p AND r.upto - 1 GROUP BY ALL)
+      SELECT r.s AS split, r.p AS target_permille, coalesce(sum(n), 0)::BIGINT AS entities, count(n) AS components, coalesce(max(n), 0) AS largest, round(coalesce(sum(n), 0) * 1000.0::DOUBLE / (SELECT sum(n) FROM g), 3) AS reached_permille FROM ranges r LEFT JOIN g USING (s) GROUP BY r.s, r.p""",
     "p5_splits": f"""WITH RECURSIVE {_GROUPS}, ranges AS (SELECT {_SPLIT.format("split", "split")} AS s, sum(target_permille) OVER (ORDER BY {_SPLIT.format("split", "split")}) AS upto, target_permille AS p FROM split_targets)
       SELECT g.p AS patient_id, component, s AS new_split FROM groups g JOIN ranges r ON ('0x' || substr(sha256('group-split:' || component), 1, 15))::BIGINT % (SELECT sum(target_permille) FROM split_targets) BETWEEN r.upto - r.p AND r.upto - 1""",
     "p6_registry": f"""SELECT unit AS task_id, CASE WHEN b IS NULL THEN -row_number() OVER (PARTITION BY b IS NULL ORDER BY sha256(unit), unit) ELSE row_number() OVER (PARTITION BY b IS NULL ORDER BY b, sha256(unit), unit) - 1 END AS seq

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from skeinlake.llm import overlap
 from skeinlake.llm.block_sample import Registry, block_sample, first_deliveries, number_units
-from skeinlake.llm.group_split import assign_splits, entity_groups, split_conflicts
+from skeinlake.llm.group_split import assign_splits, entity_groups, split_conflicts, split_shares
 from skeinlake.llm.proportional import ProportionalSample, _Search, Target
 
 
@@ -127,8 +127,13 @@ def test_overlap_equals_brute_force(spark):
     near = {}
     for t, e in want:
         near.setdefault(e, set()).add(t)
-    classes = {r.rec_id: r for r in overlap.overlap_classes(rec, task).collect()}
-    assert set(classes) == set(near)
+    classes = {r.rec_id: r for r in overlap.overlap_classes(rec.union(rec), task).collect()}
+    assert set(classes) == set(near) and all(r.class_id and r.train_rec in near[i] for i, r in classes.items())
+    for shape in (overlap.Shingles(12, 16, 3), overlap.Shingles(12, 20, 6), overlap.Shingles(5, 10, 2)):
+        d = 5 if len(shape.pieces) == 10 else 12
+        found = {(r.hash_t, r.hash_e) for r in overlap.near_hashes(*2 * [rec.select(overlap.clean_digest("a_hash").alias("hash"))], d, shape).collect()}
+        ints = {f"{h:064x}": h for h in (hexed(r[4]) for r in recs) if h is not None}
+        assert found == {(x, y) for x, a in ints.items() for y, b in ints.items() if (a ^ b).bit_count() <= d}
     assert overlap.cross_split_pairs(rec.where("false"), task).count() == 0 and overlap.cross_split_pairs(rec, task.where("false")).count() == 0
 
 
@@ -145,6 +150,8 @@ def test_groups_and_splits(spark):
     many = spark.range(20000).select(F.concat(F.lit("p"), "id").alias("patient_id")).withColumn("component", F.col("patient_id"))
     share = {r.new_split: r["count"] / 20000 for r in assign_splits(many, t).groupBy("new_split").count().collect()}
     assert set(share) == {"train", "val", "test"} and abs(share["train"] - 0.8) < 0.01
+    shares = {r.split: r for r in split_shares(assign_splits(many, t), t).collect()}
+    assert shares["train"].entities == shares["train"].components and abs(shares["train"].reached_permille - 800) < 10 and shares["val"].largest == 1
     empty = entity_groups([links.where("false")], links.where("false"))
     assert empty.count() == 0 and {r.new_split for r in assign_splits(groups, t.where("false")).collect()} == {None}
 
