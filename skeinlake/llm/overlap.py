@@ -100,12 +100,19 @@ def hash_prefixes(sided: DataFrame, shape: Shingles) -> DataFrame:
     """
     often = _frequent(sided, shape)
     is_often = [shape.piece(i).isin(sorted(often[i])) if often[i] else F.lit(False) for i in range(len(shape.pieces))]
-    ranked = F.array(*[F.struct((is_often[a] & is_often[b]).cast("int").alias("often"), F.lit(k).alias("k")) for k, (a, b) in enumerate(shape.pairs)])
-    first = F.slice(F.array_sort(ranked), 1, shape.prefix)
-    kept = F.aggregate(first, F.lit(0).cast("long"), lambda a, s: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), s["k"])))
-    grams = F.array(*[shape.shingle(k) for k in range(len(shape.pairs))])
-    rows = sided.select(*WORDS, "t", "e", kept.alias("kept"), F.explode(F.transform(first, lambda s: F.struct(s["k"].alias("k"), s["often"].alias("often")))).alias("s"), grams.alias("grams"))
-    return rows.select(*WORDS, "t", "e", "kept", "s.k", "s.often", F.get("grams", F.col("s.k")).alias("gram"))
+    both = [is_often[a] & is_often[b] for a, b in shape.pairs]
+    n, drop = len(both), len(both) - shape.prefix
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    if drop == 1:  # the last in the order: the highest number among the frequent ones, if any
+        dropped = bit(F.coalesce(F.greatest(*[F.when(c, F.lit(k)) for k, c in enumerate(both)]), F.lit(n - 1)))
+    else:
+        last = F.slice(F.array_sort(F.array(*[F.struct((-c.cast("int")).alias("o"), F.lit(-k).alias("k")) for k, c in enumerate(both)])), 1, drop) if drop else F.array().cast("array<struct<o:int,k:int>>")
+        dropped = F.aggregate(last, F.lit(0).cast("long"), lambda a, s: a.bitwiseOR(bit(-s["k"])))
+    frequent = F.lit(0).cast("long")
+    for k, c in enumerate(both):
+        frequent = frequent.bitwiseOR(F.when(c, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+    rows = sided.select(*WORDS, "t", "e", F.bitwise_not(dropped).alias("kept"), frequent.alias("frequent"), F.posexplode(F.array(*[shape.shingle(k) for k in range(n)])).alias("k", "gram"))
+    return rows.where(F.col("kept").bitwiseAND(bit(F.col("k"))) != 0).withColumn("often", (F.col("frequent").bitwiseAND(bit(F.col("k"))) != 0).cast("int")).drop("frequent")
 
 
 def near_hashes(probe: DataFrame, index: DataFrame, distance: int = 12, shape: Shingles | None = None) -> DataFrame:
