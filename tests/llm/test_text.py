@@ -2,6 +2,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,7 +121,7 @@ def test_whole_and_part(spark):
 
 def test_token_counts_are_those_of_the_tokenizer(spark):
     texts = ["Dose was 5.89 µSv", "", None, "a" * 5000, "<|endoftext|> plain"]
-    got = [r[0] for r in docs(spark, texts).orderBy("doc_id").select(mixing.token_count(F.col("text"))).collect()]
+    got = [r[0] for r in docs(spark, texts).orderBy("doc_id").select(mixing.tokens_and_topic(F.col("text"), mixing.TopicModel(*[np.zeros((0, mixing.WIDTH))] * 2)).alias("c")).select("c.n_tokens").collect()]
     enc = mixing._encoder(mixing.TOKENIZER)
     assert got == [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
 
@@ -135,9 +136,11 @@ def test_mix_holds_shares_and_caps(spark):
     targets = spark.createDataFrame([("big", 500, 1), ("small", 300, 8), ("tiny", 150, 1), ("absent", 50, 3)], "source string, target_permille int, max_repeats int")
     df = mix_docs(spark)
     mix = mixing.Mix(df, targets)
-    rep = {r.source: r for r in mix.report().collect()}
+    rows = mix.report().collect()
+    rep = {r.value: r for r in rows if r.dimension == "source"}
+    assert {r.value for r in rows if r.dimension == "lang"} == {"en", "fr", "unknown"} and abs(sum(r.reached_permille for r in rows if r.dimension == "topic") - 1000) < 1e-6
     for s in ("big", "small"):
-        assert rep[s].planned_tokens - 60 <= rep[s].tokens <= rep[s].planned_tokens + 1, s
+        assert rep[s].planned_tokens - 5 <= rep[s].tokens <= rep[s].planned_tokens + 1, s
     assert rep["tiny"].limited and rep["tiny"].tokens == rep["tiny"].available_tokens and rep["absent"].tokens == 0
     assert all(r.most_copies <= r.max_repeats for r in rep.values())
     again = mixing.Mix(df.repartition(7), targets)
