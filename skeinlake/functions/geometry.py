@@ -86,14 +86,19 @@ def _all_set(cols: list[Column]) -> Column:
     return out
 
 
-def control_box(box: Column, size: Column, gap: int = 4) -> Column:
-    """A box of equal size that does not overlap ``box``: the first of six neighbouring places that fits the image, or null."""
+# Places tried for a control box, as shares of the free room right of and below it: the corners, then the middles.
+CONTROL_PLACES = ((0, 0), (1, 0), (0, 1), (1, 1), (0.5, 0), (0.5, 1))
+
+
+def control_box(box: Column, size: Column) -> Column:
+    """A box of equal size that does not overlap ``box``: the first of six places of the image that is free, or null."""
     x1, y1, x2, y2 = corners(box)
-    w, h, iw, ih = x2 - x1, y2 - y1, F.get(size, F.lit(0)).cast("double"), F.get(size, F.lit(1)).cast("double")
-    places = [(x2 + gap, y1), (x1 - gap - w, y1), (x1, y2 + gap), (x1, y1 - gap - h), (x2 + gap, y2 + gap), (x1 - gap - w, y1 - gap - h)]
-    boxes = F.array(*[F.array(x, y, x + w, y + h) for x, y in places])
-    fits = lambda b: (F.get(b, F.lit(0)) >= 0) & (F.get(b, F.lit(1)) >= 0) & (F.get(b, F.lit(2)) <= iw) & (F.get(b, F.lit(3)) <= ih)
-    return F.get(F.filter(boxes, fits), F.lit(0))
+    w, h = x2 - x1, y2 - y1
+    room = F.get(size, F.lit(0)).cast("double") - w, F.get(size, F.lit(1)).cast("double") - h
+    at = lambda share, free: F.floor(free * F.lit(float(share))).cast("double")
+    spots = [(at(sx, room[0]), at(sy, room[1])) for sx, sy in CONTROL_PLACES]
+    boxes = F.array(*[F.array(x, y, x + w, y + h) for x, y in spots])
+    return F.when((room[0] >= 0) & (room[1] >= 0), F.get(F.filter(boxes, lambda b: ~overlaps(b, box)), F.lit(0)))
 
 
 def norm_1023(value: Column, extent: Column) -> Column:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Pattern of words, numbers and stretches of Chinese signs.
 WORD_RE = r"[A-Za-z]+(?:['-][A-Za-z]+)*|\d+(?:\.\d+)?|[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]+"
 # Words masked in skeletons.
-VIEW_WORDS = ("anterior", "posterior", "neutral", "post", "ant")
-CLASS_WORDS = ("non-metastatic", "nonmetastatic", "metastasis", "metastatic", "abnormal", "normal")
+VIEW_WORDS = ("ant", "anterior", "neutral", "post", "posterior")
+CLASS_WORDS = ("abnormal", "metastasis", "metastatic", "non-metastatic", "nonmetastatic", "normal")
 # Fixed values: (class, pattern on normalised text), in the order in which they are tried.
 _B = r"([^\p{L}\p{N}]|$)"
 QUESTION_RULES = (
@@ -89,13 +88,16 @@ def question_type(col: Column, grounding: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", "missing").otherwise(out)
 
 
+# Forms of a question and the first words that make them.
+FORMS = {
+    "what": ("what",), "where": ("where", "locate", "find", "mark", "identify", "indicate", "point", "select", "give", "box"), "does": ("does", "do"), "is": ("is", "are", "can", "has", "have"),
+}
+
+
 def question_form(col: Column) -> Column:
-    """First word class of a question."""
-    first = F.split_part(F.regexp_replace(F.lower(F.trim(col)), "[^a-z ]", ""), F.lit(" "), F.lit(1))
-    return (
-        F.when(first.isin("is", "are", "does", "do", "can", "has", "was"), "polar").when(first.isin("what", "which", "where", "how", "why", "who"), "wh")
-        .when(first.isin("outline", "show", "box", "mark", "locate", "find", "draw", "name", "describe", "point", "give", "state", "say"), "imperative").otherwise("other")
-    )
+    """Form of a question by its first word."""
+    first = F.get(F.split(F.trim(F.lower(col)), r"\s+"), F.lit(0))
+    return F.coalesce(*[F.when(first.isin(*w), F.lit(n)) for n, w in FORMS.items()], F.lit("other"))
 
 
 def language_hint(col: Column) -> Column:
@@ -139,7 +141,3 @@ def last_ordinal(col: Column) -> Column:
 
 def slug(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(col, "[^A-Za-z0-9._-]+", "_"), "^_+|_+$", "")
-
-
-def one_of(words: tuple[str, ...]) -> str:
-    return "|".join(map(re.escape, words))

@@ -333,13 +333,24 @@ def non_null_counts(spark, d):
     return N.field_counts(_docs(spark, d).select("lang", "text", "source", "patient_id"))
 
 
-@C.add(r"""SELECT * EXCLUDE (nb, vt, lb) FROM (SELECT nullif(trim(task_id), '') AS record_id, nullif(trim(patient_id), '') AS patient_id, nullif(trim(split), '') AS split, nullif(trim(prompt), '') AS question, coalesce(nullif(trim(answer), ''), nullif(trim(answer_label), ''), nullif(trim(label), '')) AS answer,
-  replace(lower(task_type), '-', '_') AS vt, len(coalesce(list_filter(targets, lambda x: len(x.bbox) = 4 AND len(list_filter(x.bbox, lambda v: v IS NULL)) = 0), [])) AS nb, nullif(trim(label), '') AS lb,
-  CASE WHEN contains(vt, 'ground') AND contains(vt, 'qa') THEN 'grounded_vqa' WHEN contains(vt, 'ground') THEN 'grounding' WHEN contains(vt, 'vqa') THEN 'vqa' ELSE 'other' END AS task, nb AS n_boxes,
-  CASE WHEN nb = 0 THEN NULL WHEN regexp_matches(lower(coalesce(lb, '')), 'whole body') THEN 'whole_body' WHEN regexp_matches(lower(coalesce(lb, '')), 'lesion|metast|hotspot|focus') THEN 'lesion_or_metastasis' ELSE 'anatomical_region' END AS target_granularity FROM multitask)""")
+_BOXES = "coalesce(list_filter(targets, lambda x: len(x.bbox) = 4 AND len(list_filter(x.bbox, lambda v: v IS NULL)) = 0), [])"
+
+
+@C.add(f"""SELECT schema_version, dataset, record_id, split, task, image_id, NULL::VARCHAR AS image_size, patient_id, question, answer, answer AS answers, {_sql_question("question", "task = 'grounding'")} AS answer_type, boxes, CASE WHEN boxes = '' THEN NULL WHEN contains(lower(coalesce(region, '')), 'whole body') THEN 'whole_body'
+  WHEN regexp_matches(lower(coalesce(region, '')), 'lesion|metast|hotspot|focus') THEN 'lesion_or_metastasis' ELSE 'anatomical_region' END AS target_granularity, region, NULL::VARCHAR AS view, row_index FROM (
+  SELECT '1.0' AS schema_version, 'own' AS dataset, coalesce(nullif(trim(task_id), ''), 'own:' || row_index) AS record_id, nullif(trim(split), '') AS split, CASE task_type WHEN 'grounded_vqa' THEN 'grounded_vqa' WHEN 'grounding' THEN 'grounding' ELSE 'vqa' END AS task, nullif(trim(images[1].image), '') AS image_id, nullif(trim(patient_id), '') AS patient_id,
+    nullif(trim(prompt), '') AS question, coalesce(nullif(trim(answer), ''), nullif(trim(answer_label), ''), nullif(trim(label), '')) AS answer, nullif(trim(label), '') AS region, row_index,
+    array_to_string(list_transform({_BOXES}, lambda x: coalesce(x.view, '') || ':' || coalesce(nullif(trim(images[1].image), ''), '') || ':' || array_to_string(list_transform(x.bbox, lambda v: v::BIGINT), ',')), ' ') AS boxes FROM (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS row_index FROM multitask))""")
 def standardise_rows(spark, d):
-    s = N.standardise(table(spark, d, "multitask").drop("required_outputs"), "own")
-    return s.select("record_id", "patient_id", "split", "question", "answer", "task", F.size("target_boxes").cast("long").alias("n_boxes"), "target_granularity")
+    s = N.standardise(table(spark, d, "multitask").drop("required_outputs"), "own", order=["row_id"])
+    part = lambda b: F.concat_ws(":", F.coalesce(F.trim(b["view"]), F.lit("")), F.coalesce(b["image_id"], F.lit("")), F.array_join(F.transform(b["bbox"], lambda v: v.cast("bigint").cast("string")), ","))
+    return s.select(*[c for c in s.columns if c not in ("target_boxes", "source", "answers", "image_size")], F.array_join("image_size", "x").alias("image_size"), F.nullif(F.array_join("answers", "|"), F.lit("")).alias("answers"), F.array_join(F.transform("target_boxes", part), " ").alias("boxes"), "source.row_index")
+
+
+@C.add(over("tasks") + "SELECT coalesce(nullif(trim(answer_label), ''), nullif(trim(regexp_replace(lower(answer), '[^\\p{L}\\p{N}<>\\-'']+', ' ', 'g')), ''), 'missing') AS label, count(*) AS n FROM t GROUP BY 1")
+def answer_label_chain(spark, d):
+    t = tasks(spark, d)
+    return t.groupBy(N.answer_label(t).alias("label")).agg(F.count("*").alias("n"))
 
 
 _KV = r"regexp_extract(props, '\"k\": *(-?[0-9]+)', 1)"

@@ -125,14 +125,20 @@ def localisation_by_level(spark, d):
     return per.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.sum((F.col("i") >= 0.5).cast("long")).alias("hits"), F.round(F.avg("i"), 4).alias("mean_iou"), F.sum(F.col("c").cast("long")).alias("centre_inside"), F.round(F.avg("dist"), 4).alias("mean_distance"))
 
 
-@C.add(_W + _LB + """ SELECT l_orderkey, l_linenumber, CASE WHEN x + w + 4 + w <= 256 AND y + h <= 100 THEN 'right' WHEN x - 4 - w >= 0 AND y + h <= 100 THEN 'left' WHEN x + w <= 256 AND y + h + 4 + h <= 100 THEN 'below' WHEN x + w <= 256 AND y - 4 - h >= 0 THEN 'above'
-  WHEN x + w + 4 + w <= 256 AND y + h + 4 + h <= 100 THEN 'right' WHEN x - 4 - w >= 0 AND y - 4 - h >= 0 THEN 'left' END AS side FROM bx""")
+_SPOT = "CASE WHEN w <= 256 AND h <= 100 AND NOT ({0} < x + w AND x < {0} + w AND {1} < y + h AND y < {1} + h) THEN {2} END"
+_SPOTS6 = ", ".join(_SPOT.format(x, y, i) for i, (x, y) in enumerate((("0", "0"), ("(256 - w)", "0"), ("0", "(100 - h)"), ("(256 - w)", "(100 - h)"), ("floor((256 - w) / 2)", "0"), ("floor((256 - w) / 2)", "(100 - h)"))))
+
+
+@C.add(_W + _LB + f" SELECT l_orderkey, l_linenumber, CASE s6 WHEN 0 THEN 0 WHEN 1 THEN 256 - w WHEN 2 THEN 0 WHEN 3 THEN 256 - w WHEN 4 THEN floor((256 - w) / 2) WHEN 5 THEN floor((256 - w) / 2) END::DOUBLE AS x1, CASE WHEN s6 IN (0, 1, 4) THEN 0 WHEN s6 IS NOT NULL THEN 100 - h END::DOUBLE AS y1 FROM (SELECT *, coalesce({_SPOTS6}) AS s6 FROM bx)")
 def control_boxes(spark, d):
-    """Where a control box of equal size goes: the first free neighbouring place."""
+    """Where a control box of equal size goes: the first free corner or middle of the image."""
     rows = _line_boxes(spark, d).withColumn("c", G.control_box(F.col("a"), F.array(F.lit(256), F.lit(100))))
-    at = lambda c, i: F.get(F.col(c), F.lit(i))
-    side = F.when(at("c", 0) > at("a", 0), "right").when(at("c", 0) < at("a", 0), "left").when(at("c", 1) > at("a", 1), "below").when(at("c", 1) < at("a", 1), "above")
-    return rows.select("l_orderkey", "l_linenumber", side.alias("side"))
+    return rows.select("l_orderkey", "l_linenumber", F.get("c", F.lit(0)).alias("x1"), F.get("c", F.lit(1)).alias("y1"))
+
+
+@C.add(over("tasks") + "SELECT CASE WHEN f = 'what' THEN 'what' WHEN f IN ('where', 'locate', 'find', 'mark', 'identify', 'indicate', 'point', 'select', 'give', 'box') THEN 'where' WHEN f IN ('does', 'do') THEN 'does' WHEN f IN ('is', 'are', 'can', 'has', 'have') THEN 'is' ELSE 'other' END AS form, count(*) AS n FROM (SELECT regexp_split_to_array(trim(lower(prompt)), '\\s+')[1] AS f FROM t) GROUP BY 1")
+def question_forms(spark, d):
+    return tasks(spark, d).groupBy(X.question_form(F.col("prompt")).alias("form")).agg(F.count("*").alias("n"))
 
 
 @C.add(_W + _CANON + ",\n" + _SPOTS + """ SELECT metastasis_id, coalesce(array_to_string(list_sort(list(record_id)), ','), '') AS candidates, CASE count(record_id) WHEN 0 THEN 'unassigned' WHEN 1 THEN 'unique_region' ELSE 'ambiguous_regions' END AS assignment

@@ -36,7 +36,7 @@ def test_boxes(spark):
     assert one(spark, G.contains(box(0, 0, 9, 9), box(1, 1, 9, 9))) is True
     assert one(spark, G.coerce_box({"left": F.lit(1), "top": F.lit(2), "right": F.lit(3), "bottom": F.lit(4)})) == [1, 2, 3, 4]
     assert one(spark, G.coerce_box({"x": F.lit(1), "y": F.lit(2), "width": F.lit(3), "height": F.lit(4)}, "coco")) == [1, 2, 4, 6]
-    assert one(spark, G.control_box(box(0, 0, 10, 10), F.array(F.lit(30), F.lit(30)))) == [14, 0, 24, 10]
+    assert one(spark, G.control_box(box(0, 0, 10, 10), F.array(F.lit(30), F.lit(30)))) == [20, 0, 30, 10]
     assert one(spark, G.is_box(F.lit(None).cast("array<double>"))) is None
     # 4 rows high, column-major: pixels 5..6 (column 1, rows 1-2) and 8..11 (all of column 2)
     assert one(spark, G.rle_box(F.array(*map(F.lit, (5, 2, 1, 4))), F.lit(4))) == [1, 0, 3, 4]
