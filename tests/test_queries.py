@@ -1,10 +1,10 @@
 import pytest
 
-from skeinlake.queries import audit, build, data_problems, scoring
+from skeinlake.queries import audit, build, data_problems, runs, scoring
 
 from .oracle import check
 
-MODULES = (data_problems, scoring, build, audit)
+MODULES = (data_problems, scoring, build, audit, runs)
 CASES = [(m, n) for m in MODULES for n in m.QUERIES]
 
 
