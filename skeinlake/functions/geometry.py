@@ -109,15 +109,19 @@ def norm_1023(value: Column, extent: Column) -> Column:
 def rle_box(counts: Column, height: Column) -> Column:
     """Tight box [x1, y1, x2, y2] (exclusive ends) of a column-major run-length mask whose runs alternate 0, 1, 0, 1...
 
-    Works on runs, not pixels: a run inside one column bounds its rows, a run over several columns spans all rows.
+    Works on runs, not pixels, in one pass: a run inside one column bounds its rows, a run over several columns spans all rows.
     """
-    ends = F.transform(counts, lambda _, i: F.aggregate(F.slice(counts, 1, i + 1), F.lit(0).cast("bigint"), lambda a, n: a + n))
-    runs = F.filter(F.transform(counts, lambda n, i: F.struct((F.get(ends, i) - n).alias("s"), F.get(ends, i).alias("e"), (i % 2 == 1).alias("on"))), lambda r: r["on"] & (r["e"] > r["s"]))
-    one = lambda r: F.struct(
-        F.floor(r["s"] / height).alias("x1"), F.floor((r["e"] - 1) / height).alias("x2"),
-        F.when(F.floor(r["s"] / height) == F.floor((r["e"] - 1) / height), r["s"] % height).otherwise(0).alias("y1"),
-        F.when(F.floor(r["s"] / height) == F.floor((r["e"] - 1) / height), (r["e"] - 1) % height).otherwise(height - 1).alias("y2"),
-    )
-    spans = F.transform(runs, one)
-    pick = lambda f: F.transform(spans, lambda s: s[f])
-    return F.when(F.size(runs) > 0, F.array(F.array_min(pick("x1")), F.array_min(pick("y1")), F.array_max(pick("x2")) + 1, F.array_max(pick("y2")) + 1))
+    big = F.lit(2**31 - 1).cast("bigint")
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("on"), big.alias("x1"), big.alias("y1"), F.lit(-1).cast("bigint").alias("x2"), F.lit(-1).cast("bigint").alias("y2"))
+    h = height.cast("bigint")
+
+    def step(a: Column, n: Column) -> Column:
+        s, e = a["at"], a["at"] + n - 1
+        first, last = F.floor(s / h), F.floor(e / h)
+        drawn = a["on"] & (n > 0)
+        keep = lambda f, new, name: F.when(drawn, f(a[name], new)).otherwise(a[name]).alias(name)
+        low, high = F.when(first == last, s % h).otherwise(F.lit(0).cast("bigint")), F.when(first == last, e % h).otherwise(h - 1)
+        return F.struct((a["at"] + n).alias("at"), (~a["on"]).alias("on"), keep(F.least, first, "x1"), keep(F.least, low, "y1"), keep(F.greatest, last, "x2"), keep(F.greatest, high, "y2"))
+
+    out = F.aggregate(F.transform(counts, lambda n: n.cast("bigint")), start, step)
+    return F.when(out["x2"] >= 0, F.array(out["x1"], out["y1"], out["x2"] + 1, out["y2"] + 1))

@@ -9,14 +9,33 @@ from pyspark.sql import functions as F
 
 from ..functions.rates import rate
 from ..functions.text import ngrams, tokens
+from .skew import running_sums
+
+
+def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Exact median per key from counts of distinct values and their running sums over range partitions; no group is gathered."""
+    per = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    run = running_sums(per, keys, [value], {"_upto": "_c"})
+    total = per.groupBy(*keys).agg(F.sum("_c").alias("_n")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n")
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    at = lambda place: F.max(F.when((F.col("_upto") - F.col("_c") < place) & (place <= F.col("_upto")), F.col(value)))
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
+    return run.join(total, on).groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))
 
 
 def numeric_summary(df: DataFrame, keys: list[str], values: dict[str, Column], digits: int = 6) -> DataFrame:
-    """Count, min, exact median, mean, max and population deviation of several values in one pass, one row per key and value."""
+    """Count, min, exact median, mean, max and population deviation of several values, one row per key and value."""
     r = lambda c: F.round(c.cast("double"), digits)
-    stats = lambda v: F.struct(F.count(v).alias("count"), r(F.min(v)).alias("min"), r(F.median(v)).alias("median"), r(F.avg(v)).alias("mean"), r(F.max(v)).alias("max"), r(F.stddev_pop(v)).alias("std"))
-    wide = df.groupBy(*keys).agg(*[stats(v).alias(f"_s{i}") for i, v in enumerate(values.values())])
-    return wide.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("value"), F.col(f"_s{i}").alias("s")) for i, n in enumerate(values)])).alias("e")).select(*keys, "e.value", "e.s.*")
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("value"), v.cast("double").alias("_v")) for n, v in values.items()])).alias("_e")).select(*keys, "_e.*")
+    v, by = F.col("_v"), [*keys, "value"]
+    stats = long.groupBy(*by).agg(F.count(v).alias("count"), r(F.min(v)).alias("min"), r(F.avg(v)).alias("mean"), r(F.max(v)).alias("max"), r(F.stddev_pop(v)).alias("std"))
+    mid = medians(long, by, "_v").select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(by)], r(F.col("median")).alias("median"))
+    on = F.lit(True)
+    for i, k in enumerate(by):
+        on = on & F.col(k).eqNullSafe(F.col(f"_m{i}"))
+    return stats.join(mid, on, "left").select(*by, "count", "min", "median", "mean", "max", "std")
 
 
 def counts(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
@@ -90,16 +109,23 @@ def box_profile(df: DataFrame, keys: list[str], box: str, size: str) -> DataFram
     )
 
 
-def fingerprint(df: DataFrame, key: str, keys: list[str] | None = None, buckets: int = 4096) -> DataFrame:
-    """Digest of a set of keys, the same whatever their order, in two levels: sorted digests of hash buckets, then of those.
+def fingerprint(df: DataFrame, key: str, keys: list[str] | None = None) -> DataFrame:
+    """Digest of a set of keys, the same whatever their order: sorted digests of hash buckets, then of the buckets' digests.
 
-    A bucket gathers 1/4096 of the keys, the last step 4096 digests, so the set itself is never in one place.
+    Buckets are named by leading hex digits of the hash, three more for every 4,096 times as many keys, and are joined level by
+    level, 4,096 to one, so no task gathers more than some thousand digests however large the set is.
     """
     keys = keys or []
     ids = df.where(F.col(key).isNotNull()).select(*keys, F.sha2(F.col(key).cast("string"), 256).alias("_h")).distinct()
-    part = F.substring("_h", 1, len(f"{buckets - 1:x}"))
-    level = ids.groupBy(*keys, part.alias("_b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_d"), F.count("*").alias("_n"))
-    return level.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_d"))), lambda s: s["_d"]), ""), 256).alias("digest"), F.sum("_n").alias("n"))
+    n, digits = ids.count(), 3
+    while n > 4096 * 16**digits:
+        digits += 3
+    level = ids.select(*keys, "_h", F.col("_h").alias("_d"), F.lit(1).cast("long").alias("_n"))
+    while digits >= 0:
+        part = F.substring("_h", 1, digits) if digits else F.lit("")
+        level = level.groupBy(*keys, part.alias("_b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_h", "_d"))), lambda s: s["_d"]), ""), 256).alias("_d"), F.sum("_n").alias("_n")).withColumnRenamed("_b", "_h")
+        digits -= 3
+    return level.select(*keys, F.col("_d").alias("digest"), F.col("_n").alias("n"))
 
 
 def crossing(df: DataFrame, what: dict[str, Column], split: str = "split") -> DataFrame:

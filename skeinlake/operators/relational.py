@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import contains
+from ..functions.geometry import contains, corners
 
 
 def last_per_key(df: DataFrame, key: str, order: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -76,9 +76,19 @@ def _not_null(keys: list[str]) -> Column:
 def assign_containers(spots: DataFrame, regions: DataFrame, keys: list[str], spot_id: str, region_id: str, spot_box: str = "bbox", region_box: str = "region_box") -> DataFrame:
     """Each spot with the regions of the same keys whose box holds it: sorted ids and unique_region, ambiguous_regions or unassigned.
 
-    The keys make it an equi-join whose residual is the containment test, so it never becomes a nested loop.
+    Regions fall into square cells as wide as the power of two above their longer side, four cells at most each; a spot looks
+    up the cell of its corner on every level that occurs (their number is the logarithm of the extents). So a key that holds
+    many boxes is met cell by cell, and boxes far apart never meet. Spots and regions without a whole box hold nothing.
     """
-    hits = spots.join(regions.select(*keys, region_id, region_box), keys).where(contains(F.col(region_box), F.col(spot_box)))
+    x1, y1, x2, y2 = corners(F.col(region_box))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(x2 - x1, y2 - y1, F.lit(1.0)))).cast("int"))
+    placed = regions.select(*keys, region_id, region_box, level.alias("_level"), x1.alias("_x1"), y1.alias("_y1"), x2.alias("_x2"), y2.alias("_y2")).where("_x1 <= _x2 and _y1 <= _y2")
+    cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    placed = placed.withColumn("_cx", F.explode(F.sequence(cell(F.col("_x1")), cell(F.col("_x2"))))).withColumn("_cy", F.explode(F.sequence(cell(F.col("_y1")), cell(F.col("_y2")))))
+    levels = sorted(r[0] for r in placed.select("_level").distinct().collect())  # one per doubling of the extents
+    sx, sy, *_ = corners(F.col(spot_box))
+    looked = spots.where(_not_null(keys)).withColumn("_level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("_cx", cell(sx)).withColumn("_cy", cell(sy))
+    hits = looked.join(placed.select(*keys, region_id, region_box, "_level", "_cx", "_cy"), [*keys, "_level", "_cx", "_cy"]).where(contains(F.col(region_box), F.col(spot_box)))
     found = hits.groupBy(spot_id).agg(F.array_sort(F.collect_set(region_id)).alias("candidates"))
     out = spots.join(found, spot_id, "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
     n = F.size("candidates")

@@ -379,8 +379,9 @@ def candidate_bank_topk(spark, d):
     form = F.regexp_replace(F.replace(F.lower("answer"), F.lower("label"), F.lit("<region>")), "[0-9]+", "<n>")
     keys = ["task_type", "region_level", "answer_label"]
     a = tasks(spark, d).where("answer is not null and answer_label is not null and label is not null and region_level is not null").groupBy(*keys, form.alias("form")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys)
-    return a.withColumn("share", F.round(F.col("n") / F.sum("n").over(w), 6)).withColumn("r", F.row_number().over(w.orderBy(F.col("n").desc(), "form"))).where("r <= 5").drop("r")
+    all_ = a.groupBy(*keys).agg(F.sum("n").alias("_all"))  # few classes
+    top = a.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("n").desc(), "form"))).where("r <= 5").drop("r")  # k rows a task before the shuffle
+    return top.join(all_, keys).withColumn("share", F.round(F.col("n") / F.col("_all"), 6)).drop("_all")
 
 
 @C.add(over("tasks") + f"SELECT task_id, ({unit('variant', 'task_id', 16).replace('::BIGINT', '')} % 7)::INT AS variant FROM t".replace("('0x' || substr(sha256('variant:' || task_id), 1, 16))::UBIGINT", "('0x' || substr(sha256('variant:' || task_id), 1, 16))::UBIGINT"))

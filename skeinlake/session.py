@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,15 +40,31 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_SCRATCH: list[list[Workspace]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes every workspace made inside at the end; results must have been written or collected by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for work in _SCRATCH.pop():
+            work.close()
+
+
 class Workspace:
     """Tables written to the shared folder: durable cuts of the lineage that survive a lost executor.
 
-    A table stays until ``drop`` or ``close``; frames that read it must have been consumed by then.
+    A table stays until ``drop``, ``close`` or the end of a ``scratch`` block; frames that read it must have been consumed by then.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if _SCRATCH:
+            _SCRATCH[-1].append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
