@@ -372,17 +372,25 @@ def rouge_l_answers(spark, d):
     return rows.withColumn("r", Q.rouge_l(F.col("reference"), F.col("answer"))).groupBy("task_type").agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("rouge_l"))
 
 
+def _gram(w: str, n: int) -> str:
+    return f"list_transform(range(1, len({w}) - {n - 2}), lambda i: array_to_string({w}[i:i + {n - 1}], ' '))"
+
+
+_HITS = ", ".join(f"sum(coalesce(list_sum(list_transform(list_distinct({_gram('c', n)}), lambda g: least(len(list_filter({_gram('c', n)}, lambda x: x = g)), len(list_filter({_gram('r', n)}, lambda x: x = g))))), 0))::BIGINT AS hit{n}, sum(len({_gram('c', n)}))::BIGINT AS all{n}" for n in (1, 2, 3, 4))
+_BLEU = f"""SELECT *, round(CASE WHEN least(hit1, hit2, hit3, hit4) = 0 THEN 0.0 ELSE (CASE WHEN cand_len >= ref_len THEN 1.0 ELSE exp(1 - ref_len::DOUBLE / cand_len) END) * exp((ln(hit1::DOUBLE / all1) + ln(hit2::DOUBLE / all2) + ln(hit3::DOUBLE / all3) + ln(hit4::DOUBLE / all4)) / 4) END, 5) AS bleu
+  FROM (SELECT task_type, sum(len(r))::BIGINT AS ref_len, sum(len(c))::BIGINT AS cand_len, {_HITS} FROM rw GROUP BY task_type)"""
 _SP = r"string_split_regex(trim(lower({0})), '\s+')"
 
 
 @C.add(over("tasks", "md AS (SELECT task_type, label, answer_label, arg_min(answer, (-n, answer)) AS reference FROM (SELECT task_type, label, answer_label, answer, count(*) AS n FROM t WHERE split = 'train' AND answer IS NOT NULL GROUP BY ALL) GROUP BY ALL)",
     f"rw AS (SELECT t.task_type, {_SP.format('reference')} AS r, {_SP.format('answer')} AS c FROM t JOIN md ON t.task_type = md.task_type AND t.label = md.label AND t.answer_label = md.answer_label WHERE split = 'test' AND answer IS NOT NULL)")
-  + "SELECT task_type, sum(len(r))::BIGINT AS ref_len, sum(len(c))::BIGINT AS cand_len, sum(list_sum(list_transform(list_distinct(c), lambda g: least(len(list_filter(c, lambda x: x = g)), len(list_filter(r, lambda x: x = g))))))::BIGINT AS hit1, sum(len(c))::BIGINT AS all1 FROM rw GROUP BY task_type")
-def bleu_counts(spark, d):
+  + _BLEU)
+def bleu_answers(spark, d):
+    """Corpus BLEU of answers against the most frequent answer of their task type, region and class, with its counts."""
     t = tasks(spark, d).where("answer is not null")
     keys = ["task_type", "label", "answer_label"]
     common = P.mode(t.where("split = 'train'"), keys, "answer").select(*keys, F.col("answer").alias("reference"))
-    return Q.bleu(t.where("split = 'test'").join(common, keys), ["task_type"], F.col("reference"), F.col("answer")).select("task_type", "ref_len", "cand_len", "hit1", "all1")
+    return Q.bleu(t.where("split = 'test'").join(common, keys), ["task_type"], F.col("reference"), F.col("answer")).withColumn("bleu", F.round("bleu", 5))
 
 
 @C.add(None)

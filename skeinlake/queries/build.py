@@ -47,23 +47,31 @@ def canonical_records(spark, d):
     return canonical(spark, d).select("record_id", "patient_id", "split", "view", "diagnosis", F.col("target.name").alias("name"), *[F.get(b, F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
 
 
-_REASONS = "list_filter([CASE WHEN flags['missing_image'] THEN 'missing_image' END, CASE WHEN flags['low_precision_region'] THEN 'low_precision_region' END, CASE WHEN flags['known_artifact'] THEN 'known_artifact' END, CASE WHEN flags['outlier'] THEN 'outlier_image' END, CASE WHEN target.kind = 'region' AND coalesce(diagnosis NOT IN ('normal', 'abnormal'), true) THEN 'unsupported_diagnosis' END], lambda x: x IS NOT NULL)"
+_REASONS = "list_filter([CASE WHEN flags['missing_image'] THEN 'missing_image' END, CASE WHEN flags['low_precision_region'] THEN 'low_precision_region' END, CASE WHEN flags['known_artifact'] THEN 'known_artifact' END, CASE WHEN flags['outlier'] THEN 'outlier_image' END, CASE WHEN flags['likely_corrupt_image'] THEN 'likely_corrupt_image' END, CASE WHEN target.kind = 'region' AND coalesce(diagnosis NOT IN ('normal', 'abnormal'), true) THEN 'unsupported_diagnosis' END], lambda x: x IS NOT NULL)"
 
 
-def reject_reasons():
-    on = lambda f, r: F.when(F.try_element_at("flags", F.lit(f)), F.lit(r))
+# Flags a policy may exclude and the reason each gives.
+EXCLUDED = {"missing_image": "missing_image", "low_precision_region": "low_precision_region", "known_artifact": "known_artifact", "outlier": "outlier_image", "likely_corrupt_image": "likely_corrupt_image"}
+
+
+def reject_reasons(columns, exclude=tuple(EXCLUDED)):
+    """Why a policy rejects a record: the excluded flags it has, a diagnosis regions may not have, and, where such columns are
+    there, no question (``qa``) or no box template (``grounding``). ``exclude`` switches the flags."""
+    flagged = [F.when(F.try_element_at("flags", F.lit(f)), F.lit(r)) for f, r in EXCLUDED.items() if f in exclude]
     odd = F.when((F.col("target.kind") == "region") & F.coalesce(~F.col("diagnosis").isin("normal", "abnormal"), F.lit(True)), F.lit("unsupported_diagnosis"))
-    return F.array_compact(F.array(on("missing_image", "missing_image"), on("low_precision_region", "low_precision_region"), on("known_artifact", "known_artifact"), on("outlier", "outlier_image"), odd))
+    lists = {"qa": "no_verified_vqa_template", "grounding": "no_verified_grounding_template"}
+    empty = [F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, F.lit(r)) for c, r in lists.items() if c in columns]
+    return F.array_compact(F.array(*flagged, odd, *empty))
 
 
 @C.add(_W + _CANON + f" SELECT reason, count(*) AS n FROM (SELECT unnest({_REASONS}) AS reason FROM c) GROUP BY reason")
 def policy_filter_reasons(spark, d):
-    return canonical(spark, d).select(F.explode(reject_reasons()).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    return canonical(spark, d).select(F.explode(reject_reasons(())).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @C.add(_W + _CANON + f" SELECT record_id, array_to_string({_REASONS}, ',') AS reasons, len({_REASONS}) = 0 AS accepted FROM c")
 def policy_decisions(spark, d):
-    r = canonical(spark, d).select("record_id", reject_reasons().alias("r"))
+    r = canonical(spark, d).select("record_id", reject_reasons(()).alias("r"))
     return r.select("record_id", F.array_join("r", ",").alias("reasons"), (F.size("r") == 0).alias("accepted"))
 
 
@@ -169,10 +177,10 @@ def pair_disagreements(spark, d):
     return p.groupBy(F.coalesce("ant", F.lit("none")).alias("ant"), F.coalesce("post", F.lit("none")).alias("post")).agg(F.count("*").alias("n"))
 
 
-@C.add(_W + ",\n".join((_CANON, _PAIRS, _SPOTS)) + """, x AS (SELECT m.metastasis_id, CASE WHEN len(candidates) IS NULL OR len(candidates) = 0 THEN 'no_candidate' WHEN c.record_id IS NULL THEN 'no_record' WHEN e.evidence_id IS NULL THEN 'no_pair' END AS reason
-  FROM m LEFT JOIN c ON candidates[1] = c.record_id LEFT JOIN pe e ON e.evidence_id = replace(regexp_replace(c.record_id, ':(ant|post)$', ''), ':region:', ':pair:')) SELECT coalesce(reason, 'found') AS reason, count(*) AS n FROM x GROUP BY ALL""")
+@C.add(_W + ",\n".join((_CANON, _PAIRS, _SPOTS)) + """, mc AS (SELECT metastasis_id, unnest(CASE WHEN coalesce(len(candidates), 0) = 0 THEN [NULL] ELSE candidates END) AS cand FROM m), x AS (SELECT m.metastasis_id, CASE WHEN cand IS NULL THEN 'no_candidate' WHEN c.record_id IS NULL THEN 'no_record' WHEN e.evidence_id IS NULL THEN 'no_pair' END AS reason
+  FROM mc m LEFT JOIN c ON cand = c.record_id LEFT JOIN pe e ON e.evidence_id = replace(regexp_replace(c.record_id, ':(ant|post)$', ''), ':region:', ':pair:')) SELECT coalesce(reason, 'found') AS reason, count(*) AS n FROM x GROUP BY ALL""")
 def lookup_reason_chain(spark, d):
-    s = spots(spark, d).select("metastasis_id", F.get("candidates", F.lit(0)).alias("first"))
+    s = spots(spark, d).select("metastasis_id", F.explode_outer("candidates").alias("first"))
     rec = canonical(spark, d).select("record_id", F.replace(F.regexp_replace("record_id", ":(ant|post)$", ""), F.lit(":region:"), F.lit(":pair:")).alias("pair_id"))
     out = R.lookup_chain(s, [("record", rec, "first", "record_id"), ("pair", pairs(spark, d).select("evidence_id"), "pair_id", "evidence_id")])
     return out.groupBy(F.when(F.col("first").isNull(), "no_candidate").otherwise(F.coalesce("reason", F.lit("found"))).alias("reason")).agg(F.count("*").alias("n"))
@@ -339,7 +347,7 @@ def tag_grammar_parse(spark, d):
     return p.select("task_id", "p.region", "p.answer_label", F.size("p.boxes").cast("long").alias("n_boxes"), weigh.alias("checksum"))
 
 
-@C.add(None)
+@C.add(over("scored") + "SELECT CASE WHEN h < 10 THEN 'tag_order' WHEN h < 20 THEN 'bad_box_block' ELSE '' END AS issues, count(*) AS n FROM s WHERE task_type = 'grounded_vqa' GROUP BY 1")
 def tag_contract_issues(spark, d):
     """Strict tag contract over good outputs and made breaches of it."""
     s = scored_tasks(spark, d).where("task_type = 'grounded_vqa'")
@@ -409,4 +417,18 @@ def metadata_question_seed(spark, d):
     return rows.groupBy("image").agg(F.min_by("task_id", F.struct(hash_bits("meta", "task_id"), "task_id")).alias("task_id"))
 
 
+@C.add(over("scored") + r"""SELECT task_id, regexp_replace(regexp_replace(label, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS name, regexp_replace(regexp_extract(patient_id, '(\d+)$', 1), '^0+(.)', '\1') AS number, trim(regexp_replace(lower(answer), '[^a-z0-9]+', ' ', 'g')) = answer_label OR trim(regexp_replace(lower(answer), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS plain,
+  'See ' || label || ' (' || view_scope || ').' AS sentence, len(regexp_extract_all(lower(prompt), '[a-z]+')) AS words, '{"task":"vqa","answer":' || to_json(answer) || ',"class":"' || answer_label AS upto FROM s WHERE task_type = 'vqa' AND view_scope IS NOT NULL AND prompt IS NOT NULL""")
+def spelled_forms(spark, d):
+    """File names, plain numbers, any-of matches, filled templates, word counts and class prefixes of scored questions."""
+    from ..sources.tabular import zero_stripped_id
+
+    s = scored_tasks(spark, d).where("task_type = 'vqa' and view_scope is not null and prompt is not null")
+    out = M.json_output(F.col("task_type"), F.col("answer"), F.col("label"), F.col("answer_label"), F.col("targets"))
+    return s.select(
+        "task_id", X.slug(F.col("label")).alias("name"), zero_stripped_id(F.col("patient_id")).alias("number"), X.matches_any(F.col("answer"), F.array("answer_label", "label")).alias("plain"),
+        X.fill_template(F.lit("See {region} ({view})."), {"region": F.col("label"), "view": F.col("view_scope")}).alias("sentence"), F.size(X.letter_tokens(F.col("prompt"))).cast("bigint").alias("words"), M.json_prefix(out, F.col("answer_label")).alias("upto"),
+    )
+
+
 QUERIES, ORACLE = C.queries, C.sql

@@ -90,11 +90,11 @@ def average_hash(pixels: list[int]) -> str:
     return f"{int(''.join('1' if p > mean else '0' for p in pixels) or '0', 2):0{len(pixels) // 4}x}"
 
 
-def markdown(title: str, tables: dict[str, DataFrame], limit: int = 200) -> str:
-    """A report of small result tables (each shown up to ``limit`` rows)."""
+def markdown(title: str, tables: dict[str, DataFrame]) -> str:
+    """A report of small result tables, each shown whole."""
     out = [f"# {title}", ""]
     for name, df in tables.items():
-        rows = df.limit(limit).collect()
+        rows = df.collect()
         out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
         out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows] + [""]
     return "\n".join(out)

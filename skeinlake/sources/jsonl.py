@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,10 +47,15 @@ def _ordered(kind: T.DataType, col: Column) -> Column:
     return col
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", drop_nulls: bool = True) -> None:
-    """One object a line, keys sorted, non-ASCII kept; written in parallel."""
-    rows = F.struct(*df.columns)
-    df.select(sorted_json(df.schema, rows, drop_nulls)).write.mode(mode).text(path)
+@F.pandas_udf("string")
+def _escaped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: "".join(c if c < "\x80" else json.dumps(c)[1:-1] for c in t), na_action="ignore")
+
+
+def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", drop_nulls: bool = True, ascii_only: bool = False) -> None:
+    """One object a line, keys sorted, written in parallel; with ``ascii_only`` all other signs as escapes."""
+    line = sorted_json(df.schema, F.struct(*df.columns), drop_nulls)
+    df.select((F.when(line.rlike("[^\\x00-\\x7f]"), _escaped(line)).otherwise(line) if ascii_only else line).alias("value")).write.mode(mode).text(path)
 
 
 def digest(df: DataFrame) -> tuple[int, int]:

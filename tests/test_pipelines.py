@@ -20,6 +20,8 @@ def test_jsonl(spark, tmp_path):
         jsonl.write_once(df.limit(1), path)
     assert sorted(r.value for r in spark.read.text(path).collect()) == ['{"a":{"y":2,"z":"é"},"b":1}', '{"b":2}']
     assert jsonl.read_jsonl(spark, path, schema).count() == 2
+    jsonl.write_jsonl(df, path + "a", drop_nulls=False, ascii_only=True)
+    assert sorted(r.value for r in spark.read.text(path + "a").collect()) == ['{"a":null,"b":2}', '{"a":{"y":2,"z":"\\u00e9"},"b":1}']
     (tmp_path / "empty").write_text("")
     with pytest.raises(jsonl.EmptySource):
         jsonl.read_jsonl(spark, str(tmp_path / "empty"), schema)
