@@ -39,7 +39,7 @@ def p3_limits(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_checks(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of any proportional sample, as rows: its size, repeated or unknown tasks, categories that are not those of
-    the last row, minimums not held although enough tasks have the category, report rows that differ from a recount."""
+    the last row, minimums not held that the report calls met, report rows that differ from a recount."""
     s = _share(spark, d)
     got, report = Workspace(spark, "checks").save(s.sample(), "sample"), s.report()
     clean = F.coalesce(clean_split("category"), F.lit("missing"))
@@ -51,7 +51,7 @@ def p3_checks(spark: SparkSession, d: str) -> DataFrame:
     return (
         one(got, "rows", F.count("*")).unionByName(one(got, "distinct_tasks", F.count_distinct("unit")))
         .unionByName(one(joined, "unknown_tasks", F.sum(F.col("own").isNull().cast("long")))).unionByName(one(joined, "other_categories", F.sum((F.col("own") != F.col("said")).cast("long"))))
-        .unionByName(one(both, "minimums_broken", F.sum((F.col("n") < F.least("min_rows", "available_last")).cast("long")))).unionByName(one(both, "report_differs", F.sum((F.col("n") != F.col("sample_rows")).cast("long"))))
+        .unionByName(one(both, "unreported_minimums", F.sum((F.col("met") & (F.col("n") < F.col("min_rows"))).cast("long")))).unionByName(one(both, "report_differs", F.sum((F.col("n") != F.col("sample_rows")).cast("long"))))
     )
 
 
@@ -141,7 +141,7 @@ ORACLE = {
       SELECT s.field_name, s.category, coalesce(h.n, 0) AS available, coalesce(l.n, 0) AS available_last, ((s.target_permille * size.n + 999) // 1000)::BIGINT AS goal_rows, s.min_rows::BIGINT AS min_rows
       FROM sample_targets s CROSS JOIN size LEFT JOIN have h ON h.field_name = s.field_name AND h.cat = coalesce({_SPLIT.format("s.category", "s.category")}, 'missing') LEFT JOIN held l ON l.field_name = s.field_name AND l.cat = coalesce({_SPLIT.format("s.category", "s.category")}, 'missing')""",
     "p3_checks": f"""WITH size AS (SELECT (count(DISTINCT {_K.format("task_id")}) * 15 + 99) // 100 AS n FROM multitask)
-      SELECT 'rows' AS name, n AS value FROM size UNION ALL SELECT 'distinct_tasks', n FROM size UNION ALL SELECT unnest(['unknown_tasks', 'other_categories', 'minimums_broken', 'report_differs']), 0""",
+      SELECT 'rows' AS name, n AS value FROM size UNION ALL SELECT 'distinct_tasks', n FROM size UNION ALL SELECT unnest(['unknown_tasks', 'other_categories', 'unreported_minimums', 'report_differs']), 0""",
     "p3_found": f"""WITH have AS ({" UNION ALL ".join(map(_p3_have, ("split", "region_level", "interaction_type", "answer_label")))}),
       size AS (SELECT (count(DISTINCT {_K.format("task_id")}) * 15 + 99) // 100 AS n FROM multitask)
       SELECT s.field_name, s.category FROM sample_targets s CROSS JOIN size LEFT JOIN have h ON h.field_name = s.field_name AND h.cat = {_SPLIT.format("s.category", "s.category")}
