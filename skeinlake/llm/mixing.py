@@ -1,13 +1,13 @@
 """Documents of several sources mixed to target shares of all tokens, by raking weights and calibrated sampling.
 
-Token counts are summed per cell (source, language, topic). Topics are clusters of a k-means model of hashed token counts,
-trained on a sample of documents of bounded number that the hash of their id picks, and applied to every document in the pass
-that counts its tokens. Iterative proportional fitting scales the cells' weights until
-sources hold their target shares and languages and topics keep the shares they have in the corpus; no weight passes its
-source's cap of repeats. A document is taken floor(weight) times, and once more with the probability of the rest, by
-exponential race: hashes give every document an order within its source and documents are taken until the planned tokens
-are reached. What is then left of a plan, less than one document, is filled by the largest documents that still fit, so a
-source with enough documents misses its plan by less than its smallest free document.
+Token counts are summed per cell (source, language, topic). Texts are tokenized once; their hashed token counts are written,
+a k-means model of topics is trained on those of every document in passes over that table, and a last pass gives each document
+its topic. Iterative proportional fitting scales the cells' weights until sources hold their target shares and languages and
+topics keep the shares they have in the corpus; no weight passes its source's cap of repeats. A document is taken
+floor(weight) times, and once more with the probability of the rest, by exponential race: hashes give every document an order
+within its source and documents are taken until the planned tokens are reached. What is then left of a plan, less than one
+document, is filled by the largest documents that still fit, so a source with enough documents misses its plan by less than
+its smallest free document.
 
 Defined results
 - null or blank source, or one without a target: not mixed; null language: ``unknown``; null text: no tokens
@@ -21,11 +21,12 @@ Defined results
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +38,10 @@ from ..session import Workspace
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pre-tokenization pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Topic model: clusters, width of the hashed counts, and the bound of the sample it is trained on.
-TOPICS, WIDTH, SAMPLE = 8, 512, 4000
+#: Topic model: clusters, width of the hashed counts, and the unit of its whole-number vectors.
+TOPICS, WIDTH, ONE = 8, 512, 2**11
+#: Documents packed and multiplied at a time (products this small are not handed to further threads), and those worth a task.
+BLOCK, TILE, TASK = 2048, 64, 2**18
 
 
 @cache
@@ -55,72 +58,182 @@ def hashed_counts(ids: list[int]) -> np.ndarray:
     return np.bincount(((np.asarray(ids, dtype=np.int64) * 2654435761) & 0xFFFFFFFF) % WIDTH, minlength=WIDTH)
 
 
+def token_counts(col: Column, path: str = TOKENIZER) -> Column:
+    """Struct(n_tokens, cells, counts) of whole texts: the cells a text's tokens fall into, ascending, and the tokens in each,
+    packed as 16- and 32-bit numbers."""
+    schema = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("cells", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+
+    @F.pandas_udf(schema)
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        enc = _encoder(path)
+        for texts in batches:
+            out = []
+            for t in texts:
+                counts = hashed_counts(enc.encode_ordinary(t) if t else [])
+                cells = np.flatnonzero(counts)
+                out.append((int(counts.sum()), cells.astype("<u2").tobytes(), counts[cells].astype("<u4").tobytes()))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return count(col)
+
+
 class TopicModel:
-    """k-means of tf-idf weighted hashed token counts. Trained on the driver from at most ``SAMPLE`` count vectors, which the
-    executors make; the same documents give the same model whatever their layout."""
+    """k-means of tf-idf weighted hashed token counts, trained on every document. The executors hold the documents, packed in
+    blocks; the driver holds the centres and the sums of a pass.
+
+    Vectors and centres are whole multiples of 1/``ONE``. Their products and sums stay below 2**24 and are exact, so the same
+    documents give the same model in any layout, and the rounds end when centres come back. Starting documents are drawn from
+    all, by the squared distance to those before.
+    """
 
     def __init__(self, idf: np.ndarray, centres: np.ndarray):
         self.idf, self.centres = idf, centres
 
     @classmethod
-    def fit(cls, docs: DataFrame, path: str = TOKENIZER, key: str = "doc_id", text: str = "text", k: int = TOPICS, sample: int = SAMPLE, seed: str = "topics") -> TopicModel:
-        named = docs.where((F.length(text) > 0) & F.col(key).isNotNull())
-        ids = named.select(key, hash_bits(seed, key).alias("_h")).distinct().orderBy("_h", key).limit(sample)
-
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def vector(texts: pd.Series) -> pd.Series:
-            enc = _encoder(path)
-            return texts.map(lambda t: hashed_counts(enc.encode_ordinary(t)))
-
-        rows = sorted((r[0], r[1], list(r[2])) for r in named.join(F.broadcast(ids), key).select("_h", F.col(key).cast("string"), vector(text)).collect())
-        counts = np.array([v for _, _, v in rows], dtype=float).reshape(-1, WIDTH)
-        idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
-        x = cls._weigh(counts, idf)
-        rng = np.random.default_rng(7)
-        k = min(k, len(x))
-        centres = x[:0]
-        for _ in range(k):  # far points first
-            far = np.ones(len(x)) if not len(centres) else np.maximum(1 - (x @ centres.T).max(axis=1), 0) + 1e-12
-            centres = np.vstack([centres, x[rng.choice(len(x), p=far / far.sum())]])
-        near = None
-        while k:  # each round lowers the summed distance, so no assignment returns
-            now = (x @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
-            if near is not None and (now == near).all():
-                break
-            near = now
-            centres = np.array([x[near == j].mean(axis=0) if (near == j).any() else centres[j] for j in range(k)])
-        return cls(idf, centres.round(9))
+    def fit(cls, counted: DataFrame, work: Workspace, k: int = TOPICS) -> TopicModel:
+        """``counted``: a written table of packed ``cells`` and ``counts`` with a ``hash`` of each document."""
+        counted = counted.select("cells", "counts", "hash").where(F.length("cells") > 0)
+        n, inside = cls._documents(counted)
+        model = cls(np.log((1 + n) / (1 + inside)) + 1, np.zeros((0, WIDTH)))
+        if not n:
+            return model
+        blocks = work.save(counted.mapInArrow(model._pack, "lengths binary, cells binary, parts binary, hashes binary"), "blocks").coalesce(1 + n // TASK)
+        while len(model.centres) < min(k, n):
+            model.centres = np.vstack([model.centres, model._next_start(blocks)])
+        seen = set()
+        while model.centres.tobytes() not in seen:  # each round lowers the summed distance, but for rounding
+            seen.add(model.centres.tobytes())
+            sums = model._sums(blocks)
+            model.centres = np.where(sums[:, -1:] > 0, np.rint(sums[:, :-1] / np.maximum(sums[:, -1:], 1)), model.centres)
+        work.drop("blocks")
+        return model
 
     @staticmethod
-    def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        v = np.log1p(counts) * idf
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-
-    def of(self, counts: np.ndarray) -> np.ndarray:
-        return (self._weigh(counts, self.idf) @ self.centres.T - (self.centres**2).sum(axis=1) / 2).argmax(axis=1)
+    def _documents(counted: DataFrame) -> tuple[int, np.ndarray]:
+        """Number of documents, and of those with tokens in each cell."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(WIDTH + 1, dtype=np.int64)
+            for b in batches:
+                cells = b.column("cells").to_numpy(zero_copy_only=False)
+                total[:WIDTH] += np.bincount(np.frombuffer(b"".join(cells), "<u2"), minlength=WIDTH)
+                total[WIDTH] += len(cells)
+            yield _numbers(total)
+
+        total = _added(counted.select("cells"), count, WIDTH + 1)
+        return int(total[WIDTH]), total[:WIDTH]
+
+    def _pack(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of up to ``BLOCK`` documents: numbers of cells, cells, vectors' parts there and hashes, end to end."""
+        for b in batches:
+            cells, counts, hashes = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cells", "counts", "hash"))
+            for at, lengths, where, parts in self._parts(cells, counts):
+                row = [lengths.astype("<u2"), where.astype("<u2"), parts.astype("<u2"), hashes[at].astype("<i8")]
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in row], names=["lengths", "cells", "parts", "hashes"])
+
+    def _parts(self, cells: np.ndarray, counts: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Place, lengths, cells and parts of the vectors of up to ``BLOCK`` documents at a time."""
+        for i in range(0, len(cells), BLOCK):
+            at = slice(i, min(i + BLOCK, len(cells)))
+            lengths = np.fromiter(map(len, cells[at]), np.int64, at.stop - i) // 2
+            where = np.frombuffer(b"".join(cells[at]), "<u2")
+            v = np.log1p(np.frombuffer(b"".join(counts[at]), "<u4").astype(float)) * self.idf[where]
+            norm = np.sqrt(np.bincount(np.repeat(np.arange(len(lengths)), lengths), v * v, minlength=len(lengths)))
+            yield at, lengths, where, np.rint(v * ONE / np.repeat(norm, lengths))
+
+    def _next_start(self, blocks: DataFrame) -> np.ndarray:
+        """Vector of one document of all, drawn with the squared distance to the nearest centre by an exponential race."""
+        step = np.uint64((len(self.centres) + 1) * 0x9E3779B97F4A7C15 % 2**64)
+
+        def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for lengths, cells, parts, hashes in _unpacked(batches):
+                x = _spread(lengths, cells, parts)
+                far = (x.astype(float) ** 2).sum(axis=1) - self._score(x).max(axis=1) if len(self.centres) else np.zeros(len(x))
+                z = hashes.view("<u8") + step  # splitmix64
+                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                z = z ^ (z >> np.uint64(31))
+                time = -np.log(((z >> np.uint64(11)) + 0.5) / 2**53) / (far[: len(z)] + 1e-6)
+                for i in np.flatnonzero(time == time.min()):
+                    mine = (float(time[i]), x[i].astype("<u2").tobytes())
+                    best = mine if best is None else min(best, mine)
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in best], names=["time", "vector"])
+
+        first = blocks.mapInArrow(race, "time double, vector binary").orderBy("time", "vector").first()
+        return np.frombuffer(bytes(first[1]), "<u2").astype(float)
+
+    def _sums(self, blocks: DataFrame) -> np.ndarray:
+        """Per centre the sum of the vectors nearest to it and, last, their number."""
+        k = len(self.centres)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((k, WIDTH + 1), dtype=np.int64)
+            for lengths, cells, parts in _unpacked(batches):
+                x = _spread(lengths, cells, parts)
+                near = self._score(x).argmax(axis=1)
+                mine = np.eye(k, dtype=np.float32)[near].reshape(-1, TILE, k).transpose(0, 2, 1)
+                total[:, :-1] += (mine @ x.reshape(-1, TILE, WIDTH)).sum(axis=0).astype(np.int64)
+                total[:, -1] += np.bincount(near[: len(lengths)], minlength=k)
+            yield _numbers(total.ravel())
+
+        return _added(blocks.select("lengths", "cells", "parts"), add, k * (WIDTH + 1)).reshape(k, WIDTH + 1)
+
+    def _score(self, x: np.ndarray) -> np.ndarray:
+        """Highest for the nearest centre: what the squared length of the vector exceeds the squared distance by."""
+        products = x.reshape(-1, TILE, WIDTH) @ self.centres.T.astype(np.float32)
+        return 2 * products.reshape(len(x), len(self.centres)).astype(float) - (self.centres**2).sum(axis=1)
+
+    def topics(self, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Topics of packed counts; ``none`` where there are no tokens."""
+        names = np.array([f"topic_{j}" for j in range(len(self.centres))], dtype=object)
+        out = np.full(len(cells), "none", dtype=object)
+        for at, lengths, where, parts in self._parts(cells, counts) if len(names) else ():
+            near = self._score(_spread(lengths, where, parts)).argmax(axis=1)[: len(lengths)]
+            out[at] = np.where(lengths > 0, names[near], "none")
+        return out
+
+    def topic(self, cells: Column, counts: Column) -> Column:
+        @F.pandas_udf(T.StringType())
+        def nearest(cells: pd.Series, counts: pd.Series) -> pd.Series:
+            return pd.Series(self.topics(cells.to_numpy(), counts.to_numpy()), dtype=object)
+
+        return nearest(cells, counts)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The arrays of each block."""
+    for b in batches:
+        for row in zip(*[c.to_numpy(zero_copy_only=False) for c in b.columns], strict=True):
+            yield [np.frombuffer(v, "<i8" if name == "hashes" else "<u2") for v, name in zip(row, b.schema.names, strict=True)]
+
+
+def _spread(lengths: np.ndarray, cells: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """One row per vector, and empty rows up to a whole number of tiles."""
+    x = np.zeros((-(-len(lengths) // TILE) * TILE, WIDTH), dtype=np.float32)
+    x.ravel()[np.repeat(np.arange(len(lengths)) * WIDTH, lengths) + cells] = parts
+    return x
+
+
+def _numbers(values: np.ndarray) -> pa.RecordBatch:
+    """Rows (place, value) of the values that are not 0."""
+    at = np.flatnonzero(values)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(values[at])], names=["place", "value"])
+
+
+def _added(df: DataFrame, partial: Callable, size: int) -> np.ndarray:
+    """Sums by place of what the tasks give; the driver sees one row per place."""
+    out = np.zeros(size, dtype=np.int64)
+    for r in df.mapInArrow(partial, "place long, value long").groupBy("place").agg(F.sum("value").alias("value")).collect():
+        out[r[0]] = r[1]
+    return out
 
 
 def tokens_and_topic(col: Column, model: TopicModel, path: str = TOKENIZER) -> Column:
-    """Struct(n_tokens, topic) of whole texts in one pass; a text without tokens has topic ``none``."""
-    schema = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("topic", T.StringType())])
-
-    @F.pandas_udf(schema)
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        enc = _encoder(path)
-        for texts in batches:
-            n, topics = np.zeros(len(texts), dtype=np.int64), np.full(len(texts), "none", dtype=object)
-            at, vectors = [], []
-            for i, t in enumerate(texts):
-                if t:
-                    ids = enc.encode_ordinary(t)
-                    n[i] = len(ids)
-                    at.append(i)
-                    vectors.append(hashed_counts(ids))
-            if at and len(model.centres):
-                topics[at] = [f"topic_{k}" for k in model.of(np.array(vectors, dtype=float))]
-            yield pd.DataFrame({"n_tokens": n, "topic": topics})
-
-    return count(col)
+    """Struct(n_tokens, topic) of whole texts by a model that is there; a text without tokens has topic ``none``."""
+    c = token_counts(col, path)
+    return F.struct(c["n_tokens"].alias("n_tokens"), model.topic(c["cells"], c["counts"]).alias("topic"))
 
 
 def rake(cells: pd.DataFrame, shares: dict[str, float], caps: dict[str, int], total: float, tolerance: float = 1e-9) -> np.ndarray:
@@ -174,9 +287,12 @@ class Mix:
         self.targets = {r[0]: (int(r[1] or 0), int(r[2] or 0)) for r in rows}
         source = clean_category("source")
         mine = docs.where(source.isin(list(self.targets)))
-        model = topics or TopicModel.fit(mine, tokenizer)
-        counted = mine.select("doc_id", source.alias("source"), F.coalesce(clean_category("lang"), F.lit("unknown")).alias("lang"), tokens_and_topic(F.col("text"), model, tokenizer).alias("c"))
-        self.docs = work.save(counted.select("doc_id", "source", "lang", "c.topic", "c.n_tokens"), "docs")
+        lang = F.coalesce(clean_category("lang"), F.lit("unknown"))
+        named = mine.select("doc_id", source.alias("source"), lang.alias("lang"), hash_bits("topics", "doc_id").alias("hash"), token_counts(F.col("text"), tokenizer).alias("c"))
+        counted = work.save(named.select("doc_id", "source", "lang", "hash", "c.*"), "counted")
+        model = topics or TopicModel.fit(counted, work)
+        self.docs = work.save(counted.select("doc_id", "source", "lang", model.topic(F.col("cells"), F.col("counts")).alias("topic"), "n_tokens"), "docs")
+        work.drop("counted")
         dims = ["source", "lang", "topic"]
         cells = self.docs.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")).orderBy(*dims).toPandas()  # sources of the targets x languages x topics
         self.cells = cells

@@ -159,3 +159,22 @@ def test_raking_keeps_other_marginals():
     assert mass.groupby("source").m.sum().to_dict() == pytest.approx({"a": 700, "b": 300})
     want = cells.groupby("lang").tokens.sum() / cells.tokens.sum()
     assert (mass.groupby("lang").m.sum() / 1000).to_dict() == pytest.approx(want.to_dict(), abs=1e-6)
+
+
+def test_topics_come_from_all_documents(spark):
+    """Every document lies nearest to the mean of its own topic, with term weights and means taken over all documents."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words[8 * g : 8 * g + 20], k=rng.randrange(4, 30))) for g in (rng.randrange(6) for _ in range(9000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("source", F.lit("a")).withColumn("lang", F.lit("en"))
+    targets = spark.createDataFrame([("a", 1000, 1)], "source string, target_permille int, max_repeats int")
+    topic = dict(mixing.Mix(df, targets).docs.select("doc_id", "topic").collect())
+    enc = mixing._encoder(mixing.TOKENIZER)
+    counts = np.array([mixing.hashed_counts(enc.encode_ordinary(t)) for t in texts])
+    x = np.log1p(counts) * (np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))) + 1)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    names = sorted(set(topic.values()))
+    own = np.array([names.index(topic[i]) for i in range(len(texts))])
+    means = np.array([x[own == j].mean(axis=0) for j in range(len(names))])
+    far = 1 - 2 * x @ means.T + (means**2).sum(axis=1)
+    assert len(names) == 8 and (far[np.arange(len(x)), own] - far.min(axis=1)).max() < 0.002
